@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["frames"]
+MODULES = ["frames", "files"]
 
 
 def _load() -> None:

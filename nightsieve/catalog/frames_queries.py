@@ -344,15 +344,14 @@ def _rejection_details(spark, d):
 
 
 @query("effective_thresholds", """
-select group_key, 'inf'::double as max_fwhm, '-inf'::double as min_sqm, max_hfr, 0 as min_trail from limits
-""", ("limits",))
+select frame_id, 'inf'::double as max_fwhm, '-inf'::double as min_sqm, max_hfr, 0 as min_trail,
+ (v_sky_temp or v_hfr or v_eccentricity or v_mean_background or v_stars) as hit from judged
+""", JUDGED)
 def _effective_thresholds(spark, d):
-    masked = thresholds.effective_thresholds(
-        limits_table(spark, MANUAL), {"fwhm": False, "sqm": False, "trail": False, "hfr": True}
-    )
-    groups = views.frames(spark, d).select(keys.group_key("filter_name").alias("group_key")).distinct()
-    used = thresholds.with_thresholds(groups, masked, F.col("group_key"), out_key="group_key").select("group_key")
-    return masked.join(used, "group_key", "left_semi").select("group_key", "max_fwhm", "min_sqm", "max_hfr", "min_trail")
+    df = thresholds.with_thresholds(views.frames(spark, d), limits_table(spark, MANUAL))
+    masked = thresholds.effective_thresholds(df, {"fwhm": False, "sqm": False, "trail": False, "hfr": True})
+    hit = thresholds.threshold_predicate(thresholds.clauses_for(df))
+    return masked.select("frame_id", "max_fwhm", "min_sqm", "max_hfr", "min_trail", hit.alias("hit"))
 
 
 @query("apply_thresholds", f"""
