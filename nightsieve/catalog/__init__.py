@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["frames", "files"]
+MODULES = ["frames", "files", "pixels"]
 
 
 def _load() -> None:
