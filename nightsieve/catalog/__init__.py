@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["frames", "files", "pixels"]
+MODULES = ["frames", "files", "pixels", "stars"]
 
 
 def _load() -> None:
