@@ -32,7 +32,7 @@ def card(cards: Column | str, key: str) -> Column:
 
 def number(raw: Column) -> Column:
     """Card text as a double: quotes dropped, D exponents allowed, null when it is no number."""
-    return strip_quotes(F.regexp_replace(raw, "[Dd]", "E")).try_cast("double")
+    return strip_quotes(F.translate(raw, "Dd", "EE")).try_cast("double")
 
 
 def first_available(cards: Column | str, keys: Sequence[str], positive: bool = True) -> Column:
@@ -68,11 +68,6 @@ def resolve_timestamp(cards: Column | str, keys: Sequence[str] = DATE) -> Column
     return parse_timestamp(first_text(cards, keys))
 
 
-def peel_quotes(text: Column) -> Column:
-    """Trim and drop quotes around a property value; blank -> null."""
-    return strip_quotes(text)
-
-
 def sqm_from_name(name: Column | str) -> Column:
     """Sky quality reading in a file name, else null."""
     column = F.col(name) if isinstance(name, str) else name

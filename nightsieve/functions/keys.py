@@ -85,7 +85,7 @@ def split_list(column: Column | str, separator: str = ";") -> Column:
 
 def strip_quotes(column: Column | str) -> Column:
     """Trim, then drop quotes and blanks at both ends; blank -> null."""
-    text = F.regexp_replace(_col(column), r"""^[\s'"]+|[\s'"]+$""", "")
+    text = F.btrim(_col(column), F.lit(" \t\r\n'\""))
     return F.nullif(text, F.lit(""))
 
 

@@ -15,10 +15,10 @@ from nightsieve.operators.statistics import (
     center_weighted_medians,
     extrema_with_counts,
     mad,
-    rms_about,
     stride_sample,
     with_group_values,
 )
+from nightsieve.plans.lookup import checked
 from nightsieve.session import cut
 
 # Aperture and background ring of a star, in pixels.
@@ -35,22 +35,16 @@ def aperture_join(
     A point names the positions it needs and meets the raster on (keys, y, x), which
     spreads evenly however stars are placed.
     """
-    span = range(-outer, outer + 1)
-    wanted = [
-        (dy, dx) for dy in span for dx in span
-        if max(abs(dy), abs(dx)) <= radius or inner**2 <= dy * dy + dx * dx <= outer**2
-    ]
-    table = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in wanted])
-    asked = points.select("*", F.explode(table).alias("_o")).select(
-        *points.columns, F.col("_o.dy").alias("dy"), F.col("_o.dx").alias("dx"),
-        (F.col("cy") + F.col("_o.dy")).alias("y"), (F.col("cx") + F.col("_o.dx")).alias("x"),
-    )
+    span = F.sequence(F.lit(-outer), F.lit(outer))
     squared = F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")
-    joined = asked.join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"])
-    return joined.withColumns({
-        "in_box": (F.abs("dy") <= radius) & (F.abs("dx") <= radius),
-        "in_ring": squared.between(inner**2, outer**2),
-    }).drop("y", "x")
+    in_box = (F.abs("dy") <= radius) & (F.abs("dx") <= radius)
+    in_ring = squared.between(inner**2, outer**2)
+    asked = (
+        points.withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
+        .withColumns({"in_box": in_box, "in_ring": in_ring}).filter(F.col("in_box") | F.col("in_ring"))
+        .withColumns({"y": F.col("cy") + F.col("dy"), "x": F.col("cx") + F.col("dx")})
+    )
+    return asked.join(pixels.select(*keys, "y", "x", "v"), [*keys, "y", "x"]).drop("y", "x")
 
 
 def measure_stars(
@@ -141,8 +135,13 @@ def frame_levels(pixels: DataFrame, frames: DataFrame, keys: Sequence[str], cap:
     size = F.col("width").cast("bigint") * F.col("height")
     position = F.col("y").cast("bigint") * F.col("width") + F.col("x")
     sample = stride_sample(sized, position, size, **({"cap": cap} if cap else {}))
-    centers = mad(sample, keys, "v")
-    spread = rms_about(with_group_values(sample, keys, centers), keys, "v", "median", "sigma")
+    # statistics of at most 200 000 samples per frame follow from their value counts
+    counts = cut(sample.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")))
+    centers, _ = checked(mad(counts, keys, "v", weight="n", bounded=True))
+    delta = F.col("v") - F.col("median")
+    spread = with_group_values(counts, keys, centers).groupBy(*keys).agg(
+        F.sqrt(F.sum(F.col("n") * delta * delta) / F.sum("n")).alias("sigma")
+    )
     return (
         frames.select(*keys, "width", "height").join(centers, list(keys)).join(spread, list(keys))
         .withColumn("background", F.col("median"))
@@ -151,15 +150,16 @@ def frame_levels(pixels: DataFrame, frames: DataFrame, keys: Sequence[str], cap:
 
 def trail_raster(pixels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rasters reduced to 1536 and then 768 on the longest side, and their sizes."""
-    sized = with_group_values(pixels.select(*keys, "y", "x", "v"), keys, frames.select(*keys, "width", "height"))
-    sizes = frames.select(*keys, "width", "height")
-    for longest in (1536, 768):
-        tw, th = analysis_size(F.col("width"), F.col("height"), longest)
-        rows = sized.withColumns({"_tw": tw, "_th": th})
-        reduced = resample_nearest(rows, keys, F.col("width"), F.col("height"), F.col("_tw"), F.col("_th"))
-        sized = reduced.select(*keys, "y", "x", "v", F.col("_tw").alias("width"), F.col("_th").alias("height"))
-        sizes = sizes.select(*keys, tw.alias("width"), th.alias("height"))
-    return sized.select(*keys, "y", "x", "v"), sizes
+    w1, h1 = analysis_size(F.col("width"), F.col("height"), 1536)
+    w2, h2 = analysis_size(F.col("_w1"), F.col("_h1"), 768)
+    sizes, _ = checked(
+        frames.select(*keys, "width", "height").withColumns({"_w1": w1, "_h1": h1}).withColumns({"_w2": w2, "_h2": h2})
+    )
+    rows = with_group_values(pixels.select(*keys, "y", "x", "v"), keys, sizes)
+    for start, end in ((("width", "height"), ("_w1", "_h1")), (("_w1", "_h1"), ("_w2", "_h2"))):
+        rows = resample_nearest(rows, keys, *[F.col(c) for c in (*start, *end)])
+    final = sizes.select(*keys, F.col("_w2").alias("width"), F.col("_h2").alias("height"))
+    return rows.select(*keys, "y", "x", "v"), final
 
 
 def frame_metrics(pixels: DataFrame, frames: DataFrame, keys: Sequence[str] = ("frame_id",)) -> DataFrame:
@@ -176,7 +176,7 @@ def frame_metrics(pixels: DataFrame, frames: DataFrame, keys: Sequence[str] = ("
     bright = with_group_values(measured, keys, extrema.select(*keys, F.col("max").alias("_top")))
     good = stars.star_quality_filter(bright, keys, F.col("_top"))
     placed = with_group_values(good, keys, levels.select(*keys, "width", "height"))
-    shape = center_weighted_medians(placed, keys, ["fwhm", "hfr", "ecc"], F.col("width"), F.col("height"))
+    shape = center_weighted_medians(placed, keys, ["fwhm", "hfr", "ecc"], F.col("width"), F.col("height"), bounded=True)
     small, sizes = trail_raster(pixels, frames, keys)
     trails = trail.detect_trail(small, sizes, keys)
     zero = F.lit(0.0)

@@ -170,19 +170,27 @@ def analysis_size(width: Column, height: Column, longest: int) -> tuple[Column,
     return fit(width), fit(height)
 
 
-def _nearest_targets(at: Column, size: Column, target: Column) -> Column:
-    """Targets whose nearest source index is `at`."""
-    steps = F.greatest(F.lit(1), target - 1).cast("double")
-    span = (size - 1).cast("double")
+def _source_of(t: Column, size: Column, target: Column) -> Column:
+    steps, span = F.greatest(F.lit(1), target - 1).cast("double"), (size - 1).cast("double")
+    return F.least(size - 1, F.rint(t.cast("double") / steps * span).cast("int"))
 
-    def source(t: Column) -> Column:
-        return F.least(size - 1, F.rint(t.cast("double") / steps * span).cast("int"))
 
-    low = F.when(span > 0, F.floor((at - 0.5) * steps / span) - 1).otherwise(F.lit(0))
-    high = F.when(span > 0, F.ceil((at + 0.5) * steps / span) + 1).otherwise(target - 1)
-    low, high = F.greatest(low, F.lit(0)).cast("int"), F.least(high, target - 1).cast("int")
-    spanned = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-    return F.filter(spanned, lambda t: source(t) == at)
+def _nearest_targets(at: Column, near: Column, size: Column, target: Column) -> Column:
+    """Targets whose nearest source index is `at`, null for none.
+
+    When reducing, only the target nearest to `at` can be one; when enlarging, the
+    whole run around it is checked.
+    """
+    reach = F.ceil(target / size).cast("int") + 1
+    run = F.sequence(F.greatest(F.lit(0), near - reach), F.least(target - 1, near + reach))
+    several = F.filter(F.when(size > 1, run).otherwise(F.sequence(F.lit(0), target - 1)), lambda t: _source_of(t, size, target) == at)
+    one = F.when(_source_of(near, size, target) == at, F.array(near))
+    return F.when((target <= size) & (target > 1), one).otherwise(several)
+
+
+def _near_target(at: Column, size: Column, target: Column) -> Column:
+    steps, span = F.greatest(F.lit(1), target - 1).cast("double"), F.greatest(F.lit(1), size - 1).cast("double")
+    return F.least(target - 1, F.rint(at * steps / span).cast("int"))
 
 
 def _sized(*sizes: Column | int) -> list[Column]:
@@ -196,9 +204,11 @@ def resample_nearest(
     """Nearest-sample resize. Every source row names its own targets, so nothing is shuffled."""
     w, h, tw, th = _sized(width, height, to_width, to_height)
     carried = [c for c in df.columns if c not in (*keys, "y", "x", v)]
-    rows = df.select(*keys, *carried, v, F.explode(_nearest_targets(F.col("y"), h, th)).alias("_ty"), "x")
-    return rows.select(
-        *keys, *carried, F.col("_ty").alias("y"), F.explode(_nearest_targets(F.col("x"), w, tw)).alias("x"), v
+    rows = df.withColumn("_near", _near_target(F.col("y"), h, th)).select(
+        *keys, *carried, v, F.explode(_nearest_targets(F.col("y"), F.col("_near"), h, th)).alias("_ty"), "x"
+    )
+    return rows.withColumn("_near", _near_target(F.col("x"), w, tw)).select(
+        *keys, *carried, F.col("_ty").alias("y"), F.explode(_nearest_targets(F.col("x"), F.col("_near"), w, tw)).alias("x"), v
     )
 
 
@@ -355,19 +365,24 @@ def support_weights() -> list[tuple[int, int, list[float]]]:
     return [(dy, dx, weights) for (dy, dx), weights in table.items()]
 
 
+def _literal(values: Sequence[float | int], at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), at + 1)
+
+
 def directional_support(df: DataFrame, candidates: DataFrame, keys: Sequence[str], v: str = "v") -> DataFrame:
     """Support of each candidate in 4 directions, with the best and second best.
 
     Candidates ask for the samples around them, so the work follows their number and
     not the raster's size.
     """
-    table = F.array(*[
-        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), *[F.lit(w).alias(f"w{i}") for i, w in enumerate(weights)])
-        for dy, dx, weights in support_weights()
-    ])
-    asked = candidates.select(*keys, F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(table).alias("o")).select(
-        *keys, "cy", "cx", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x"),
-        *[F.col(f"o.w{i}").alias(f"w{i}") for i in range(4)],
+    dy, dx, weights = zip(*support_weights())
+    slots = candidates.select(
+        *keys, F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(F.sequence(F.lit(0), F.lit(len(dy) - 1))).alias("o")
+    )
+    slot = F.col("o")
+    asked = slots.select(
+        *keys, "cy", "cx", (F.col("cy") + _literal(dy, slot)).alias("y"), (F.col("cx") + _literal(dx, slot)).alias("x"),
+        *[_literal([w[i] for w in weights], slot).alias(f"w{i}") for i in range(4)],
     )
     sums = [F.sum(F.col(f"w{i}") * F.col(v)).alias(f"s{i}") for i in range(4)]
     found = asked.join(df.select(*keys, "y", "x", v), [*keys, "y", "x"]).groupBy(*keys, "cy", "cx").agg(*sums)

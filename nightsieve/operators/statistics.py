@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nightsieve.functions.geometry import radial_weight
 from nightsieve.functions.tone import curve_from_statistics
-from nightsieve.plans.lookup import lookup_join
+from nightsieve.plans.lookup import checked, lookup_join
 from nightsieve.plans.ranges import row_index, value_prefix, with_halo
 from nightsieve.schema import finite
 
@@ -22,11 +22,14 @@ def _holding(index: Column) -> Column:
 
 
 def nearest_rank_percentile(
-    df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bounded: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], bounded: bool = False, weight: str | None = None
 ) -> DataFrame:
-    """(keys…, one column per share): the value at position rint(share * (n - 1)); 0 without values."""
-    clean = df.select(*keys, finite(value).alias(value))
-    prefix = value_prefix(clean, keys, value, bounded=bounded)
+    """(keys…, one column per share): the value at position rint(share * (n - 1)); 0 without values.
+
+    `weight` names a column of row counts where equal values are already collapsed.
+    """
+    clean = df.select(*keys, finite(value).alias(value), *([weight] if weight else []))
+    prefix = value_prefix(clean, keys, value, weight, bounded)
     picks = []
     for name, share in shares.items():
         index = F.rint(F.lit(float(share)) * (F.col("valid") - 1).cast("double"))
@@ -34,14 +37,17 @@ def nearest_rank_percentile(
     return prefix.groupBy(*keys).agg(*picks)
 
 
-def mad(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False) -> DataFrame:
+def mad(
+    df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False, weight: str | None = None
+) -> DataFrame:
     """(keys…, median, mad): nearest-rank median and median absolute deviation."""
-    medians = nearest_rank_percentile(df, keys, value, {"median": 0.5}, bounded)
-    deviations = with_group_values(df, keys, medians).select(
-        *keys, F.abs(F.col(value) - F.col("median")).alias("_dev")
+    medians = nearest_rank_percentile(df, keys, value, {"median": 0.5}, bounded, weight)
+    small, _ = checked(medians)
+    deviations = with_group_values(df, keys, small).select(
+        *keys, F.abs(F.col(value) - F.col("median")).alias("_dev"), *([weight] if weight else [])
     )
-    spread = nearest_rank_percentile(deviations, keys, "_dev", {"mad": 0.5}, bounded)
-    return medians.join(spread, list(keys))
+    spread = nearest_rank_percentile(deviations, keys, "_dev", {"mad": 0.5}, bounded, weight)
+    return small.join(spread, list(keys))
 
 
 def with_group_values(df: DataFrame, keys: Sequence[str], values: DataFrame) -> DataFrame:
@@ -97,14 +103,14 @@ def half_flux_radius(
 
 def center_weighted_medians(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], width: Column | float, height: Column | float,
-    x: str = "x", y: str = "y",
+    x: str = "x", y: str = "y", bounded: bool = False,
 ) -> DataFrame:
     """Weighted median of several columns under the radial weight, in one pass over (column, value)."""
     entries = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
     long = df.select(*keys, radial_weight(x, y, width, height).alias("_rw"), F.explode(entries).alias("e")).select(
         *keys, "_rw", "e.*"
     )
-    medians = weighted_median(long, [*keys, "metric"], "value", "_rw")
+    medians = weighted_median(long, [*keys, "metric"], "value", "_rw", bounded=bounded)
     return medians.groupBy(*keys).agg(
         *[F.max(F.when(F.col("metric") == c, F.col("weighted_median"))).alias(c) for c in columns]
     )

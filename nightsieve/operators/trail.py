@@ -35,15 +35,6 @@ def geometry(width: Column | float, height: Column | float) -> dict[str, Column]
     }
 
 
-def _angle_table() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(a).alias("a"), F.lit(math.cos(a / ANGLES * math.pi)).alias("c"), F.lit(math.sin(a / ANGLES * math.pi)).alias("s")
-        )
-        for a in range(ANGLES)
-    ])
-
-
 def line_votes(
     points: DataFrame, keys: Sequence[str], threshold: Column, width: Column | float, height: Column | float, signal: str = "signal"
 ) -> DataFrame:
@@ -57,17 +48,19 @@ def line_votes(
     ).cast("int")
     shaped = points.withColumns(geometry(width, height)).withColumn("_weight", weight)
     counts = shaped.groupBy(*keys).agg(F.count(F.lit(1)).alias("points"))
-    cast = shaped.select("*", F.explode(_angle_table()).alias("t"))
-    rho = (F.col("x") - F.col("_cx")) * F.col("t.c") + (F.col("y") - F.col("_cy")) * F.col("t.s")
+    theta = F.col("angle") / F.lit(float(ANGLES)) * F.lit(math.pi)
+    cast = shaped.select("*", F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("angle"))
+    rho = (F.col("x") - F.col("_cx")) * F.cos(theta) + (F.col("y") - F.col("_cy")) * F.sin(theta)
     index = F.rint((rho + F.col("_reach")) / F.col("_rho_bin")).cast("int")
     bins = (
-        cast.select(*keys, "t", index.alias("rho"), "_weight", "_rho_bins", "_reach", "_rho_bin")
+        cast.select(*keys, "angle", index.alias("rho"), "_weight", "_rho_bins", "_reach", "_rho_bin")
         .filter((F.col("rho") >= 0) & (F.col("rho") < F.col("_rho_bins")))
-        .groupBy(*keys, F.col("t.a").alias("angle"), "rho")
+        .groupBy(*keys, "angle", "rho")
         .agg(
-            F.sum("_weight").alias("votes"), F.first("t.c").alias("nx"), F.first("t.s").alias("ny"),
+            F.sum("_weight").alias("votes"),
             (F.col("rho") * F.first("_rho_bin") - F.first("_reach")).alias("rho_value"),
         )
+        .withColumns({"nx": F.cos(theta), "ny": F.sin(theta)})
     )
     best = F.max_by(
         F.struct("angle", "rho", "votes", "nx", "ny", "rho_value"), F.struct(F.col("votes"), -F.col("angle"), -F.col("rho"))
@@ -178,7 +171,7 @@ def trail_candidates(
     ))
     position = F.col("y").cast("bigint") * F.col("_w") + F.col("x")
     sampled = stride_sample(residual, position, F.col("_w").cast("bigint") * F.col("_h"))
-    levels = nearest_rank_percentile(sampled, keys, "e", {"_p": 0.997}).select(
+    levels = nearest_rank_percentile(sampled, keys, "e", {"_p": 0.997}, bounded=True).select(
         *keys, F.greatest(F.lit(1e-6), F.col("_p")).alias("threshold")
     )
     lit = with_group_values(residual, keys, levels)
