@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["frames", "files", "pixels", "stars"]
+MODULES = ["frames", "files", "pixels", "stars", "live"]
 
 
 def _load() -> None:
