@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nightsieve.catalog import views
 from nightsieve.catalog.registry import query
 from nightsieve.functions import geometry, tone
-from nightsieve.operators import alignment, detection, ordering, raster, stars, statistics
+from nightsieve.operators import alignment, detection, ordering, raster, stars, statistics, trail
 
 K = ["frame_id"]
 S = views.RASTER_SIDE
@@ -433,3 +433,33 @@ def _measure_stars(spark, d):
     )
     found = detection.measure_stars(px, points, K, radius=3, inner=3, outer=4)
     return rounded(rounded(found, "x", "y", "fwhm", "hfr", digits=5), "ecc", digits=4).select(*K, "x", "y", "fwhm", "hfr", "ecc")
+
+
+@query("detect_stars")
+def _detect_stars(spark, d):
+    px, frames = views.mosaics(spark, d), views.mosaic_frames(spark, d)
+    levels = detection.frame_levels(px, frames, K).select(*K, "background", "sigma", "width", "height")
+    measured, _ = detection.detect_stars(px, levels, K)
+    return measured
+
+
+@query("frame_metrics")
+def _frame_metrics(spark, d):
+    return detection.frame_metrics(views.mosaics(spark, d), views.mosaic_frames(spark, d))
+
+
+@query("detect_trail")
+def _detect_trail(spark, d):
+    return trail.detect_trail(views.mosaics(spark, d), views.mosaic_frames(spark, d), K)
+
+
+@query("roi_center")
+def _roi_center(spark, d):
+    frames = views.mosaic_frames(spark, d)
+    centers = alignment.roi_center(views.mosaics(spark, d), frames, K)
+    return alignment.roi_rect(centers.join(frames, K))
+
+
+@query("align_frames")
+def _align_frames(spark, d):
+    return alignment.align_frames(views.mosaics(spark, d), views.mosaic_frames(spark, d), "frame_id")

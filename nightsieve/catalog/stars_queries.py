@@ -131,26 +131,48 @@ def _anchor_points(spark, d):
     return stars.anchor_points(views.stars(spark, d), "frame_id", "star_id", W, H)
 
 
-@query("point_arithmetic", f"""
-select frame_id, star_id, least(greatest(x, 100), 1500) as clamped, round(sqrt((x - 1000) * (x - 1000) + (y - 750) * (y - 750)), 9) as off_center,
- {W} - 1 - x as rx, {H} - 1 - y as ry, x + 700 as sx, y - 300 as sy, x + 700 < {W} and y - 300 >= 0 as inside from stars
+@query("clamp", """
+select frame_id, star_id, least(greatest(x, 100), 1500) as clamped, round(sqrt((x - 1000) * (x - 1000) + (y - 750) * (y - 750)), 9) as off_center from stars
 """, ("stars",))
-def _point_arithmetic(spark, d):
-    rx, ry = geometry.rotate_point("x", "y", W, H)
-    sx, sy, inside = geometry.shift_point("x", "y", 700, -300, W, H)
+def _clamp(spark, d):
+    off = geometry.distance("x", "y", F.lit(1000.0), F.lit(750.0))
     return views.stars(spark, d).select(
-        *K, "star_id", geometry.clamp("x", 100.0, 1500.0).alias("clamped"),
-        F.round(geometry.distance("x", "y", F.lit(1000.0), F.lit(750.0)), 9).alias("off_center"),
-        rx.alias("rx"), ry.alias("ry"), sx.alias("sx"), sy.alias("sy"), inside.alias("inside"),
+        *K, "star_id", geometry.clamp("x", 100.0, 1500.0).alias("clamped"), F.round(off, 9).alias("off_center")
     )
 
 
+@query("rotate_point", f"""
+select frame_id, star_id, {W} - 1 - x as rx, {H} - 1 - y as ry, 1 - x / {W}::double as ux, 1 - y / {H}::double as uy from stars
+""", ("stars",))
+def _rotate_point(spark, d):
+    rx, ry = geometry.rotate_point("x", "y", W, H)
+    ux, uy = geometry.rotate_unit_point(F.col("x") / F.lit(float(W)), F.col("y") / F.lit(float(H)))
+    return views.stars(spark, d).select(*K, "star_id", rx.alias("rx"), ry.alias("ry"), ux.alias("ux"), uy.alias("uy"))
+
+
+@query("shift_point", f"""
+select frame_id, star_id, x + 700 as sx, y - 300 as sy from stars where x + 700 < {W} and y - 300 >= 0
+""", ("stars",))
+def _shift_point(spark, d):
+    sx, sy, inside = geometry.shift_point("x", "y", 700, -300, W, H)
+    return views.stars(spark, d).filter(inside).select(*K, "star_id", sx.alias("sx"), sy.alias("sy"))
+
+
 GW, GH = stars.grid_size(W, H, 12)
 SMOOTH = f"""sm as (select frame_id, gy, gx, sum(w * fwhm) / sum(w) as value from (select frame_id, gy::int as gy, gx::int as gx, fwhm,
  exp(-((x - (gx + 0.5::double) * {W / GW!r}::double) ** 2 + (y - (gy + 0.5::double) * {H / GH!r}::double) ** 2) / {2 * (math.hypot(W, H) / 6) ** 2!r}::double) as w
  from stars, range(0, {GH}) a(gy), range(0, {GW}) b(gx) where fwhm > 0) group by 1, 2, 3)"""
 
 
+@query("grid_kernel_join", f"""
+select frame_id, gy::int as gy, gx::int as gx, round(sum(w), 7) as w, round(sum(w * fwhm), 7) as wv from (select frame_id, gy, gx, fwhm,
+ exp(-((x - (gx + 0.5::double) * {W / GW!r}::double) ** 2 + (y - (gy + 0.5::double) * {H / GH!r}::double) ** 2) / {2 * (math.hypot(W, H) / 6) ** 2!r}::double) as w
+ from stars, range(0, {GH}) a(gy), range(0, {GW}) b(gx) where fwhm > 0) group by 1, 2, 3
+""", ("stars",))
+def _grid_kernel_join(spark, d):
+    return rounded(stars.grid_kernel_join(views.stars(spark, d), K, "fwhm", W, H, 12), "w", "wv", digits=7)
+
+
 @query("kernel_smooth", f"with {SMOOTH} select frame_id, gy, gx, round(value, 8) as value from sm", ("stars",))
 def _kernel_smooth(spark, d):
     return rounded(stars.kernel_smooth(views.stars(spark, d), K, "fwhm", W, H, 12), "value", digits=8)

@@ -122,3 +122,28 @@ def cards(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.filter(F.col("kv").contains("=")).select(
         "page_id", "seq", F.get(parts, F.lit(0)).alias("k"), F.get(parts, F.lit(1)).alias("v")
     )
+
+
+MOSAIC_TILES = 10
+MOSAIC_SIDE = MOSAIC_TILES * RASTER_SIDE
+
+
+def mosaics(spark: SparkSession, folder: str) -> DataFrame:
+    """80x80 rasters, each of 100 vectors laid out as 8x8 tiles on a flat level; every 7th tile holds a star."""
+    tile = F.col("frame_id") % (MOSAIC_TILES * MOSAIC_TILES)
+    dx, dy = F.col("x") - F.lit(3.4), F.col("y") - F.lit(3.6)
+    glow = F.lit(3000.0) * F.exp(-(dx * dx + dy * dy) / F.lit(2.0 * 1.3 * 1.3))
+    star = F.when(F.col("frame_id") % 7 == 0, glow * (F.lit(1.0) + F.abs("v"))).otherwise(F.lit(0.0))
+    return pixels(spark, folder).select(
+        F.floor(F.col("frame_id") / (MOSAIC_TILES * MOSAIC_TILES)).alias("frame_id"),
+        (F.floor(tile / MOSAIC_TILES) * RASTER_SIDE + F.col("y")).cast("int").alias("y"),
+        (tile % MOSAIC_TILES * RASTER_SIDE + F.col("x")).cast("int").alias("x"),
+        (F.col("v") * 100 + 1000 + star).alias("v"),
+    )
+
+
+def mosaic_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """The rasters' headers."""
+    side = F.lit(MOSAIC_SIDE)
+    rows = mosaics(spark, folder).select("frame_id").distinct()
+    return rows.withColumns({"width": side, "height": side, "pixel_um": F.lit(3.76), "focal_mm": F.lit(500.0)})

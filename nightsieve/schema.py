@@ -89,8 +89,11 @@ LIMITS_SCHEMA = T.StructType(
 
 def limits_table(spark: SparkSession, limits: dict[str, Limits]) -> DataFrame:
     """One row per group key; '' is the row other groups start from."""
-    names = [f.name for f in fields(Limits)]
-    rows = [(key.strip().lower(), *[getattr(value, n) for n in names]) for key, value in limits.items()]
+    kinds = {"float": float, "int": int, "bool": bool}
+    rows = [
+        (key.strip().lower(), *[kinds[f.type](getattr(value, f.name)) for f in fields(Limits)])
+        for key, value in limits.items()
+    ]
     return spark.createDataFrame(rows, LIMITS_SCHEMA)
 
 
