@@ -178,7 +178,7 @@ def session_write(
     values = {"Version": F.lit(1), "SavedAt": F.current_timestamp()} | (settings or {})
     parts.select(
         *[value.alias(name) for name, value in values.items()], F.col("entries").alias("Frames")
-    ).write.mode("overwrite").json(path)
+    ).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def nested_roundtrip(df: DataFrame, keys: Sequence[str], order: Sequence[str], part_rows: int = 1000) -> DataFrame:
