@@ -16,11 +16,9 @@ from nightsieve import catalog  # noqa: E402
 from nightsieve.session import ensure_checkpoint_dir, local_session  # noqa: E402
 
 HEADLINES = [
-    "rank_percentile", "quality_score", "traffic_light", "auto_thresholds", "apply_thresholds", "rejection_reasons",
-    "summary_rollup", "reject_counters", "threshold_sweep", "multi_sort", "neighbours", "neighbourhood", "move_manifest",
-    "first_available_multi", "session_read", "nested_roundtrip", "nearest_rank_percentile", "mad", "auto_stretch",
-    "box_blur", "local_maxima", "measure_stars", "shift_correlation", "weighted_median", "kernel_smooth", "isolated_points",
-    "thin_by_distance", "triangle_signatures", "line_votes", "trail_gates_score", "density_map", "live_rescore", "live_stream",
+    "rank_percentile", "traffic_light", "auto_thresholds", "apply_thresholds", "summary_rollup", "reject_counters",
+    "threshold_sweep", "multi_sort", "move_manifest", "nearest_rank_percentile", "mad", "box_blur", "local_maxima",
+    "measure_stars", "weighted_median", "kernel_smooth", "isolated_points", "density_map", "live_rescore",
 ]
 
 

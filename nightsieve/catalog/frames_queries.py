@@ -372,8 +372,9 @@ select frame_id, gk as group_key, round(score, 9) as score, (a1 or a2 or a3 or a
 from v
 """, ("frames",))
 def _apply_thresholds(spark, d):
-    scored = scoring.with_score(views.frames(spark, d))
-    df = thresholds.apply_thresholds(scored, limits_table(spark, STORED), enabled={"hfr": False})
+    frames = views.frames(spark, d)
+    scored = scoring.with_score(frames)
+    df = thresholds.apply_thresholds(scored, limits_table(spark, STORED), enabled={"hfr": False}, peers=frames)
     return df.select(
         "frame_id", "group_key", F.round("score", 9).alias("score"), "auto_rejected", "is_rejected",
         F.size("reasons").alias("reason_count"),

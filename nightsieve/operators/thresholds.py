@@ -193,15 +193,17 @@ def apply_thresholds(
     stored: DataFrame | None = None,
     group: Column | None = None,
     enabled: dict[str, bool] | None = None,
+    peers: DataFrame | None = None,
 ) -> DataFrame:
     """Full pass: automatic limits, masks, verdict, reasons, override.
 
-    Adds group_key, auto_rejected, reasons and is_rejected.  A table without a
+    `peers` are the rows automatic limits are taken from, by default `df`; pass the
+    table before scoring, so that limits do not wait for scores.  Adds group_key, auto_rejected, reasons and is_rejected.  A table without a
     `manual_override` column has no overrides.
     """
     enabled = enabled or {}
     off = [name for name, on in enabled.items() if not on]
-    limits = auto_thresholds(df, stored, group, skip=off)
+    limits = auto_thresholds(df if peers is None else peers, stored, group, skip=off)
     judged = effective_thresholds(with_thresholds(df, limits, group), enabled)
     clauses = clauses_for(df)
     judged = judged.withColumn("auto_rejected", threshold_predicate(clauses))

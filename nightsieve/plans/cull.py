@@ -75,7 +75,7 @@ def judged_frames(metrics: DataFrame, options: CullOptions) -> DataFrame:
     """Metrics with score, verdict, reasons and relative path."""
     scored = scoring.with_score(metrics, "path")
     limits = limits_table(metrics.sparkSession, options.limits)
-    judged = thresholds.apply_thresholds(scored, limits)
+    judged = thresholds.apply_thresholds(scored, limits, peers=metrics)
     return judged.withColumn("relative_path", files.relative_path(F.regexp_replace("path", "^file:/+", "/"), options.input))
 
 
