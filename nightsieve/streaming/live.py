@@ -26,6 +26,7 @@ from nightsieve.schema import SCORED, ScoredMetric
 from nightsieve.session import cut
 from nightsieve.sources.files import FRAME_GLOB, discover_files, split_roots
 
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 SETTLE_SECONDS = 1.5  # fixed value: age a file needs before it is read
 
 
@@ -34,7 +35,7 @@ def watch_source(spark: SparkSession, roots: str | Sequence[str], recursive: boo
     streams = None
     for root in split_roots(roots):
         one = (
-            spark.readStream.format("binaryFile").option("pathGlobFilter", FRAME_GLOB)
+            spark.readStream.schema(BINARY_FILES).format("binaryFile").option("pathGlobFilter", FRAME_GLOB)
             .option("recursiveFileLookup", str(recursive).lower()).load(root)
             .select("path", "modificationTime", "length")
         )
