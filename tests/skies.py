@@ -26,10 +26,13 @@ def scattered(n, width, height, seed=7, margin=25, gap=30.0):
     """Star positions with a minimum distance and peaks between 800 and 6000."""
     rng = np.random.default_rng(seed)
     out = []
-    while len(out) < n:
+    for _ in range(100_000):
+        if len(out) == n:
+            break
         x, y = rng.uniform(margin, width - margin), rng.uniform(margin, height - margin)
         if all((x - a) ** 2 + (y - b) ** 2 >= gap**2 for a, b, _ in out):
             out.append((x, y, rng.uniform(800, 6000)))
+    assert len(out) == n, "the field is too small for so many stars"
     return out
 
 

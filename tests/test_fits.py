@@ -81,7 +81,7 @@ def test_options():
 def test_batch_run_moves_the_soft_frame(spark, tmp_path):
     assert cull_session(spark, CullOptions(input=str(tmp_path)))[0] == 2
     assert cull_session(spark, CullOptions(input=str(tmp_path), rejected="x")) == (0, {})
-    sky = scattered(30, 200, 160)
+    sky = scattered(15, 200, 160)
     os.makedirs(tmp_path / "in" / "night1")
     write_fits(tmp_path / "in/night1/sharp.fits", star_field(200, 160, sky, sigma=1.5), extra=[("FILTER", "'Ha'")])
     write_fits(tmp_path / "in/night1/soft.fits", star_field(200, 160, sky, sigma=2.4), extra=[("FILTER", "'Ha'")])
