@@ -15,7 +15,6 @@ from nightsieve.shipping import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +44,13 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.Reco
             if batch.num_rows:
                 yield from work(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, run, schema)
+
+
+def map_partitions(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """`mapInArrow` with the package sent to the executors first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(work, schema)
 
 
 def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightsieve.llm.bytes_hash import U, RangeHash, chunks, texts
-from nightsieve.llm.common import map_batches, staged
+from nightsieve.llm.common import map_batches, map_partitions, staged
 
 WINDOW = 64
 PLACES = U((1 << 28) - 1)
@@ -311,7 +311,7 @@ def repeated_spans(
     held = long_enough.join(wanted.hint("shuffle_hash"), "id").select("text", "wanted")
     held = staged(map_batches(held, _extract, "anchor long, context long, count long, hot boolean, content binary"), "contexts")
     dealt = held.where("not hot").select("anchor", "context", "count", "content").repartition("anchor").sortWithinPartitions("anchor")
-    judged = dealt.mapInArrow(partial(_groups, length=length, depth=depth), "anchor long, context long, runs array<struct<first:long,end:long>>")
+    judged = map_partitions(dealt, partial(_groups, length=length, depth=depth), "anchor long, context long, runs array<struct<first:long,end:long>>")
     windows = staged(map_batches(held.where("hot"), partial(_window_rows, length=length), "value long, anchor long, context long, place long"), "windows")
     again = windows.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
     busy = windows.join(again, "value").select("anchor", "context", F.array(F.struct(F.col("place").alias("first"), (F.col("place") + 1).alias("end"))).alias("runs"))

@@ -38,8 +38,10 @@ class Model:
     chances: list[float] = field(default_factory=lambda: [0.0])
 
     def weigh(self, words: list[str]) -> list[float]:
+        """A word said again at once weighs as an unknown one."""
         known, stems, rest = self.weights, self.stems, self.rest
-        return [known[w] if w in known else stems.get(w[:STEM], rest) for w in words]
+        out = [known[w] if w in known else stems.get(w[:STEM], rest) for w in words]
+        return [rest if i and w == words[i - 1] else out[i] for i, w in enumerate(words)]
 
 
 def maximal_segments(weights: list[float]) -> list[tuple[float, int, int]]:
@@ -89,8 +91,8 @@ def _count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[str, bool, int], int] = {}
     for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         words = _words(text)
-        for stem, terms in ((False, words), (True, [w[:STEM] for w in words])):
-            for term in terms:
+        for stem, terms in ((False, set(words)), (True, {w[:STEM] for w in words})):
+            for term in terms:  # once a text: repeated lines are no further evidence
                 key = (term, stem, label)
                 counts[key] = counts.get(key, 0) + 1
     rows = list(counts.items())
@@ -103,13 +105,13 @@ def _count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def fit(
     labelled: DataFrame, text_col: str = "text", label_col: str = "label", max_rows: int = 12_000,
-    max_terms: int = 60_000, prior: float = 40.0, cost: float = 0.5,
+    max_terms: int = 60_000, prior: float = 2.0, cost: float = 0.7,
 ) -> Model:
     """Learn from a bounded sample: at most about `max_rows` rows, chosen by hashes of their texts; so repeatable.
 
     Words and beginnings with the largest evidence are kept, `max_terms` of each kind at most; the tail scores as
-    `rest`.  `prior` is the weight of the Dirichlet prior: the shares of a word's beginning, within those of the
-    whole corpus.  `cost` is taken from each weight so that clean text drifts down.  Rows with a null label take no
+    `rest`.  A Dirichlet prior of `prior` pseudo-counts pulls a word to the shares of its beginning, and a beginning to
+    those of the whole sample.  `cost` is taken from each weight so that clean text drifts down.  Rows with a null label take no
     part; with one class only the model says 0 or the class's share everywhere.
     """
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
@@ -121,13 +123,13 @@ def fit(
     counts = map_batches(rows, _count, "term string, stem boolean, label int, n long")
     share = counts.groupBy("stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"), F.countDistinct("term").alias("terms"))
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("good"))
     totals = {r["stem"]: r for r in share.collect()}
     if not totals or not totals[False]["bad"] or not totals[False]["good"]:
         only = rows.agg(F.avg("label")).first()[0] or 0.0
         rows.unpersist()
         return Model({}, {}, -1.0, chances=[float(only)])
-    bad, good, kinds = (float(totals[False][k]) for k in ("bad", "good", "terms"))
+    bad, good = (float(totals[False][k]) for k in ("bad", "good"))
     by_term = counts.groupBy("term", "stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
@@ -136,21 +138,18 @@ def fit(
     for stem in (False, True):
         of_kind = by_term.where(F.col("stem") == stem)
         kept[stem] = of_kind.orderBy(surplus.desc(), "term").limit(max_terms).collect()
-    base = 1.0 / kinds
-    odds = lambda a, b, pa_, pb: math.log((a + prior * pa_) / (bad + prior)) - math.log((b + prior * pb) / (good + prior))
-    stems, shares = {}, {}
-    for r in kept[True]:
-        # the beginning's own shares, smoothed towards the whole corpus
-        whole = (r["a"] + r["b"] + base) / (bad + good)
-        pair = (r["a"] + prior * whole) / (bad + prior), (r["b"] + prior * whole) / (good + prior)
-        stems[r["term"]] = math.log(pair[0]) - math.log(pair[1]) - cost
-        shares[r["term"]] = pair
+    part = bad / (bad + good)
+
+    def odds(a: int, b: int, mean: float) -> float:
+        """Log-odds under a Dirichlet prior of `prior` pseudo-counts, `mean` of them in label 1."""
+        return math.log((a + prior * mean) / bad) - math.log((b + prior * (1 - mean)) / good)
+
+    ratios = {r["term"]: odds(r["a"], r["b"], part) for r in kept[True]}
+    stems = {term: ratio - cost for term, ratio in ratios.items()}
     weights = {}
     for r in kept[False]:
-        ratio = stems.get(r["term"][:STEM], 0.0) + cost
-        whole = (r["a"] + r["b"] + base) / (bad + good)
-        tilt = math.exp(max(-6.0, min(6.0, ratio)) / 2)
-        weights[r["term"]] = odds(r["a"], r["b"], whole * tilt, whole / tilt) - cost
+        tilt = math.exp(ratios.get(r["term"][:STEM], 0.0)) * bad
+        weights[r["term"]] = odds(r["a"], r["b"], tilt / (tilt + good)) - cost
     model = Model(weights, stems, -cost)
     clean: dict[float, int] = {}
     for r in kept[False]:
@@ -221,6 +220,19 @@ def _score(batch: pa.RecordBatch, model: Model, limit: float):
     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["id", "score", "passages"])
 
 
+def with_scores(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 1e-3) -> DataFrame:
+    """All columns of `docs` with `score` and `passages` at the end; those names must be free."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        for scored in _score(pa.RecordBatch.from_arrays([batch.column(place)] * 2, ["id", "text"]), shared.value, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *scored.columns[1:]], [*batch.schema.names, "score", "passages"])
+
+    extra = F.lit(0.0).cast("double").alias("score"), F.lit(None).cast("array<struct<first:int,end:int,strength:double>>").alias("passages")
+    return map_batches(docs, run, docs.select("*", *extra).schema)
+
+
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", limit: float = 1e-3) -> DataFrame:
     """(id, score, passages) per row: the chance of label 1 and all significant segments as word ranges.
 
