@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightsieve.llm import near_dedup, suffix_dedup, toxicity
+from nightsieve.llm import chat, decontamination, near_dedup, neighbours, packing, suffix_dedup, token_files, toxicity, url_filter, warc
 from nightsieve.llm.common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(folder, files)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_ids(folder, manifest)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -20,15 +31,68 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = """
+with words as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), items as (
+  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from benchmark
+  where item_id is not null
+), item_shingles as (
+  select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s
+  from items where len(w) > 0
+), doc_shingles as (
+  select doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as s
+  from words where len(w) > 0
+), sizes as (select item_id, count(*) as n from item_shingles group by item_id),
+shared as (
+  select d.doc_id, i.item_id, count(distinct d.s) as c from doc_shingles d join item_shingles i on d.s = i.s group by d.doc_id, i.item_id
+)
+select doc_id, shared.item_id, cast(n as integer) as n_item, cast(c as integer) as n_shared
+from shared join sizes on shared.item_id = sizes.item_id where c * 100 >= n * 80
+"""
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.read_conversations(chat.written(chat.format_conversations(turns.unionByName(extra))))
+
+
+#: Host, start of the path, verdict.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels of document n stand for page n: a page is bad if its document is toxic or of quality 0."""
+    labels = table(spark, sf_dir, "labels")
+    bad = F.greatest(F.col("toxic"), 1 - F.col("quality"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")), RULES)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_toxicity, op7_suffix_dedup, op10_near_dedup)
-}
-CHECKS: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_warc, op2_token_files, op3_toxicity, op4_packing, op5_neighbours, op6_decontamination, op7_suffix_dedup, op8_chat,
+    op9_url_filter, op10_near_dedup,
+)}
+CHECKS: dict[str, str] = {"op6_decontamination": OP6_SQL}

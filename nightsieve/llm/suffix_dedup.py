@@ -256,25 +256,48 @@ def _window_rows(batch: pa.RecordBatch, length: int):
         )
 
 
+def _kept(raw: bytes, spans: list[dict[str, int]] | None, length: int) -> tuple[bytes, int]:
+    """The bytes outside all strings that start in `spans`, and the number of maximal removed runs."""
+    merged: list[list[int]] = []
+    for span in sorted((s["first"], s["end"] - 1 + length) for s in spans or []):
+        if merged and span[0] <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], span[1])
+        else:
+            merged.append([*span])
+    left, at = [], 0
+    for a, b in merged:
+        left.append(raw[at:a])
+        at = b
+    return b"".join([*left, raw[at:]]), len(merged)
+
+
+def _cut_text(batch: pa.RecordBatch, length: int, place: int):
+    """The batch with cut texts, without its last column, the spans."""
+    out = []
+    for text, spans in zip(batch.column(place), batch.columns[-1].to_pylist()):
+        cut = spans and _kept(text.as_buffer().to_pybytes(), spans, length)[0].decode(errors="ignore")
+        out.append(cut if spans else text.as_py())
+    columns = batch.columns[:-1]
+    columns[place] = pa.array(out, pa.string())
+    yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+
+def with_cut_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """All columns of `docs`, with the repeated strings of `repeated_spans` cut from the texts."""
+    spans = spans.select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
+    rows = docs.join(spans.hint("shuffle_hash"), F.col(id_col) == F.col("__id"), "left").select(*docs.columns, "__spans")
+    return map_batches(rows, partial(_cut_text, length=length, place=docs.columns.index(text_col)), docs.schema)
+
+
 def _cut(batch: pa.RecordBatch, length: int):
     data, bounds = texts(batch.column("text"))
     n_bytes, n_removed, n_spans, digest, rest = [], [], [], [], []
     for row, spans in enumerate(batch.column("spans").to_pylist()):
         raw = data[bounds[row]:bounds[row + 1]].tobytes()
-        merged: list[list[int]] = []
-        for span in sorted((s["first"], s["end"] - 1 + length) for s in spans or []):
-            if merged and span[0] <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], span[1])
-            else:
-                merged.append([*span])
-        left, at = [], 0
-        for a, b in merged:
-            left.append(raw[at:a])
-            at = b
-        kept = b"".join([*left, raw[at:]])
+        kept, runs = _kept(raw, spans, length)
         n_bytes.append(len(raw))
         n_removed.append(len(raw) - len(kept))
-        n_spans.append(len(merged))
+        n_spans.append(runs)
         digest.append(hashlib.sha256(kept).hexdigest())
         rest.append(kept)
     yield pa.RecordBatch.from_arrays(
@@ -295,7 +318,7 @@ def repeated_spans(
     if length % depth or length <= WINDOW:
         raise ValueError("length must be a multiple of depth and above the anchor's window")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    long_enough = source.where(F.octet_length("text") >= length)
+    long_enough = source.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     rows = staged(map_batches(long_enough, partial(_anchor_rows, length=length),
                               "id long, start long, count long, anchor long, context long"), "anchors")
     classes = rows.groupBy("anchor", "context").agg(
@@ -329,7 +352,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Removed is each byte that a `length`-byte string covers which also starts anywhere else, same text included, in
     the UTF-8 bytes of the input; null is empty.  Texts below `length` bytes lose nothing.  `kept_bytes` may be
-    cut inside a character.  Ids must be distinct; equal texts lose all their bytes; an empty table gives no row.
+    cut inside a character.  Ids must be distinct; rows without an id lose
+    nothing and take no part; equal texts lose all their bytes; an empty table gives no row.
     """
     spans = repeated_spans(docs, id_col, text_col, length, depth, hot).withColumnRenamed(id_col, "id")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
