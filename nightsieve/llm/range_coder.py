@@ -195,7 +195,7 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         coder.narrow(m, unit, start, size)
         lanes = coder.ready(m)
         while len(lanes):
-            code[lanes] = (code[lanes] << U(16)) | words[lanes, used[lanes]].astype(U)
+            code[lanes] = (code[lanes] << U(16)) | words[lanes, np.minimum(used[lanes], words.shape[1] - 1)].astype(U)
             used[lanes] += 1
             coder.shift(lanes)
             lanes = lanes[np.isin(lanes, coder.ready(m))] if len(lanes) else lanes
