@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, repeat
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space other than space and line feed, and the mark below: such texts go to the library whole.
-_OTHER = re.compile(r"[^\S \n]|[\x01\x1c-\x1f\x85]")
+_OTHER = re.compile("[\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _FIRST = "\x01"
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str, limit: int = 400_000) -> "Encoder":
+def encoder(path: str, limit: int = 1_200_000) -> "Encoder":
     """One encoder a worker process and file."""
     if (path, limit) not in _LOADED:
         _LOADED[path, limit] = Encoder(path, limit)
@@ -25,7 +26,7 @@ class Encoder:
     """Encodes as the library does on the whole text, `add_special_tokens` off and special strings as ordinary text.
 
     Both kinds of tokenizer split texts before any white space that follows other characters, so pieces "white space and
-    word" can be encoded alone.  At most `limit` pieces are remembered; then the cache starts anew.
+    word" can be encoded alone.  About `limit` pieces, of 40 characters each, are remembered; then the cache starts anew.
     """
 
     def __init__(self, path: str, limit: int) -> None:
@@ -40,22 +41,22 @@ class Encoder:
         self.places: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _learn(self, pieces: list[str]) -> None:
         raw = [p if p[:1] == "\n" else p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
-        for at in range(0, len(raw), 4096):
-            for piece, found in zip(pieces[at:at + 4096], self.tokenizer.encode_batch_fast(raw[at:at + 4096], add_special_tokens=False)):
-                ids = found.ids
-                place = len(self.places)
-                if place + 2 > len(self.starts):
-                    self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.int32)))
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.places[piece] = place
-                self.starts[place + 1] = self.used
+        found = [e.ids for at in range(0, len(raw), 4096) for e in self.tokenizer.encode_batch_fast(raw[at:at + 4096], add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        place = len(self.places)
+        while place + len(pieces) + 1 > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.int32)))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.starts[place + 1:place + 1 + len(pieces)] = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.used += len(ids)
+        self.chars += sum(map(len, pieces))
+        self.places.update(zip(pieces, range(place, place + len(pieces))))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds)."""
@@ -73,7 +74,7 @@ class Encoder:
         return (np.concatenate(out) if out else np.empty(0, np.int32)), np.concatenate(([0], np.cumsum(counts)))
 
     def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.places) > self.limit:
+        if len(self.places) > self.limit or self.chars > 40 * self.limit:
             self._clear()
         pieces: list[str] = []
         sizes = np.zeros(len(texts), np.int64)
@@ -95,7 +96,7 @@ class Encoder:
                 continue
             pieces += words
             sizes[i] = len(words)
-        place = np.fromiter(map(self.places.get, pieces, _minus()), np.int64, len(pieces))
+        place = np.fromiter(map(self.places.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(place < 0)
         if len(missing):
             self._learn(list(dict.fromkeys(pieces[k] for k in missing)))
@@ -113,11 +114,3 @@ class Encoder:
             counts = np.array([len(p) for p in parts], np.int64)
             ids = np.concatenate(parts)
         return ids, counts
-
-
-class _minus:
-    def __iter__(self):
-        return self
-
-    def __next__(self) -> int:
-        return -1
