@@ -19,8 +19,12 @@ from nightsieve.llm.tokens import encoder
 Run = tuple[tuple[int, ...], int]  # lengths, repeats
 
 
-def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
-    """All multisets of two or three of `lengths` that fill `size` exactly, as rows in falling order, 0 for none."""
+def patterns(lengths: np.ndarray, size: int, each: int = 6, turn: int = 0) -> np.ndarray:
+    """Multisets of two or three of `lengths` that fill `size` exactly, as rows in falling order, 0 for none.
+
+    All pairs, and for each longest length up to `each` triples, evenly spaced over all there are, others at another `turn`: with few
+    patterns the fitted repeats are large and lose little when rounded.
+    """
     has = np.zeros(size + 1, bool)
     has[lengths] = True
     out = []
@@ -30,11 +34,13 @@ def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
             out.append((a, rest, 0))
         b = np.arange(max(1, (rest + 1) // 2), min(a, rest - 1) + 1)
         b = b[has[b] & has[rest - b]] if len(b) else b
+        if len(b) > each:
+            b = b[((np.arange(each) + (turn * 0.37 + 0.5) % 1) * len(b) / each).astype(int)]
         out.extend((int(a), int(x), int(rest - x)) for x in b)
     return np.array(out, np.int64).reshape(-1, 3)
 
 
-def nonnegative_fit(rows: np.ndarray, target: np.ndarray, rounds: int = 400) -> np.ndarray:
+def nonnegative_fit(rows: np.ndarray, target: np.ndarray, rounds: int = 1500) -> np.ndarray:
     """Repeat counts x >= 0 that bring the lengths used by patterns near `target` in the least-squares sense.
 
     Accelerated projected gradient steps; the step comes from a few power iterations.
@@ -42,14 +48,15 @@ def nonnegative_fit(rows: np.ndarray, target: np.ndarray, rounds: int = 400) ->
     if not len(rows):
         return np.zeros(0)
     n = len(target)
-    use = lambda x: np.bincount(rows.reshape(-1), np.repeat(x, rows.shape[1]), n) * (np.arange(n) > 0)
-    back = lambda y: np.where(np.arange(n) > 0, y, 0)[rows].sum(axis=1)
+    care = (np.arange(n) > 0).astype(float)
+    use = lambda x: np.bincount(rows.reshape(-1), np.repeat(x, rows.shape[1]), n) * care
+    back = lambda y: (y * care)[rows].sum(axis=1)
     v = np.ones(len(rows))
     for _ in range(20):
         v = back(use(v / np.linalg.norm(v)))
     step = 1 / (1.05 * np.linalg.norm(v))
     scale = max(1.0, float(target.max()))
-    goal = target / scale
+    goal = target * care / scale
     x = y = np.zeros(len(rows))
     pace = 1.0
     for _ in range(rounds):
@@ -92,18 +99,19 @@ def plan(counts: np.ndarray, size: int) -> list[Run]:
     """
     left = counts.astype(np.int64).copy()
     out: list[Run] = []
-    lengths = np.flatnonzero(left[:size])
-    rows = patterns(lengths[lengths > 0], size)
-    repeats = nonnegative_fit(rows, left[:size].astype(float))
-    for k in np.argsort(-repeats, kind="stable"):
-        if repeats[k] < 0.5:
-            break
-        used = [int(x) for x in rows[k] if x]
-        times = min([int(round(repeats[k])), *(int(left[x]) // used.count(x) for x in set(used))])
-        if times > 0:
-            for x in used:
-                left[x] -= times
-            out.append((tuple(used), times))
+    for turn in range(4):  # what rounding leaves is fitted again
+        lengths = np.flatnonzero(left[:size])
+        rows = patterns(lengths[lengths > 0], size, turn=turn)
+        repeats = nonnegative_fit(rows, left[:size].astype(float))
+        for k in np.argsort(-repeats, kind="stable"):
+            if repeats[k] < 0.5:
+                break
+            used = [int(x) for x in rows[k] if x]
+            times = min([int(round(repeats[k])), *(int(left[x]) // used.count(x) for x in set(used))])
+            if times > 0:
+                for x in used:
+                    left[x] -= times
+                out.append((tuple(used), times))
     return out + best_fit(left, size)
 
 
