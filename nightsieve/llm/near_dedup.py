@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from nightsieve.llm.bytes_hash import BASE, U, chunks, mix, shingles, texts
 from nightsieve.llm.common import map_batches, staged
 from nightsieve.llm.components import components
+from nightsieve.shipping import ship
 
+SMALL = 64
+TILE = 1024
 EMPTY = U((1 << 64) - 1)
 
 
@@ -112,6 +115,67 @@ def _cross(batch: pa.RecordBatch, percent: int):
                 )
 
 
+def _tile(rows: pa.Table, percent: int) -> pa.Table:
+    """Exact links between a tile's probes and its members, one for each probe and other component."""
+    rows = rows.combine_chunks()
+    ids, part, size = (rows.column(c).to_numpy() for c in ("rep", "component", "n"))
+    probe = rows.column("probe").to_numpy(zero_copy_only=False)
+    data, bounds = texts(rows.column("members"))
+    values, bounds = np.frombuffer(data.tobytes(), U), bounds // 8
+    mine, other = np.flatnonzero(probe), np.flatnonzero(~probe)
+    x, y = [], []
+    if len(mine) and len(other):
+        pool = np.concatenate([values[bounds[i]:bounds[i + 1]] for i in other])
+        owner = np.repeat(np.arange(len(other)), size[other])
+        order = np.argsort(pool)
+        pool, owner = pool[order], owner[order]
+        for i in mine:
+            own = values[bounds[i]:bounds[i + 1]]
+            first, last = np.searchsorted(pool, own, "left"), np.searchsorted(pool, own, "right")
+            run = last - first
+            at = np.arange(run.sum()) + np.repeat(first - np.cumsum(run) + run, run)
+            both = np.bincount(owner[at], minlength=len(other))
+            hit = np.flatnonzero((part[other] != part[i]) & (100 * both >= percent * (size[i] + size[other] - both)))
+            for k in np.unique(part[other][hit], return_index=True)[1]:
+                x.append(ids[i])
+                y.append(ids[other[hit[k]]])
+    return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
+
+
+def _wide_links(room: DataFrame, wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across the components of buckets with many members, from tiles of a bounded size.
+
+    Members outside a bucket's largest component are probes.  Blocks of probes meet blocks of members in tiles, where
+    an index from shingles to members gives the exact intersections of a probe with all of them; only links leave.
+    """
+    parts = room.join(wide, "key").groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest"))
+    blocks = main.select("key", "main", F.ceil(F.col("size") / TILE).cast("int").alias("down"),
+                         F.ceil((F.col("size") - F.col("largest")) / TILE).cast("int").alias("across"))
+    rows = room.select("key", "rep", "component", "n").join(blocks, "key")
+    spot = F.xxhash64("rep")
+    members = rows.select("key", "rep", "component", "n", F.lit(False).alias("probe"), F.pmod(spot, "down").cast("int").alias("down"),
+                          F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("across"))
+    probes = rows.where("component <> main").select(
+        "key", "rep", "component", "n", F.lit(True).alias("probe"),
+        F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("down"), F.pmod(spot, "across").cast("int").alias("across"))
+    tiles = members.unionByName(probes).join(sets.withColumnRenamed("id", "rep"), "rep")
+    work = partial(_tile, percent=percent)
+    ship(room.sparkSession)
+    return staged(tiles.groupBy("key", "down", "across").applyInArrow(lambda t: work(t), "x long, y long").distinct(), "links")
+
+
+def _labelled(member: DataFrame, found: DataFrame) -> DataFrame:
+    out = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return out.withColumn("component", F.coalesce("component", "rep"))
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component."""
+    ends = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return member.join(ends.where("lo < hi").select("key"), "key")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
     bands: int | None = None, rows: int = 5,
@@ -121,14 +185,15 @@ def near_duplicates(
     Two texts are linked when 100 * |intersection| >= percent * |union| of their sets of distinct `width`-word shingles
     (words are runs outside space and 09-0D, A-Z lowered; fewer words: the whole sequence; none or null: no links).
     Equal sets are one class from the start.  Classes that share a band are candidates: each is verified against its
-    bucket's first class; of the buckets that still hold several components, all pairs across components follow, but
-    for those that sizes or shingles found in no other candidate rule out.  So all links that banding can see are
+    bucket's first class; in the buckets that still hold several components, against the class with the fewest shingles
+    of its own; in those that remain, all pairs across components are judged, but for those that sizes or shingles found in no
+    other candidate rule out: as pairs in small buckets, by tiles with an index of shingles in wide ones.  So all links that banding can see are
     judged on full sets; at the threshold a pair shares no band with probability (1 - (percent/100)**rows)**bands.
 
-    Ids must be distinct integers; repeated texts, ties and extra columns are fine; an empty table gives no row.
+    Ids must be distinct integers; rows without one are left out; repeated texts, ties and extra columns are fine; an empty table gives no row.
     """
     bands = bands or (25 if percent >= 85 else 40)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     described = staged(
         map_batches(source, partial(_describe, width=width, bands=bands, rows=rows),
                     "id long, n long, twin long, total long, bands array<long>"), "sketch")
@@ -147,24 +212,35 @@ def near_duplicates(
     edges = staged(_verified(stars.select(F.col("head").alias("x"), F.col("rep").alias("y")), sets, percent), "links")
     found = staged(components(edges, "x", "y"), "components")
 
-    labelled = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    labelled = staged(labelled.select("key", "rep", "n", F.coalesce("component", "rep").alias("component")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    mixed = staged(labelled.join(mixed, "key"), "mixed")
+    mixed = staged(_mixed(_labelled(member, found)), "mixed")
     # a shingle that no other candidate has cannot be shared
     ids = sets.join(mixed.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     single = map_batches(ids, _exploded, "id long, value long").groupBy("value").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"))
     single = single.where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
     room = mixed.join(single.withColumnRenamed("id", "rep"), "rep", "left")
-    room = room.withColumn("room", F.col("n") - F.coalesce("lone", F.lit(0))).where((100 * F.col("room") >= percent * F.col("n")))
-    bags = room.groupBy("key").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "component", "n", "room")).alias("members"))
-    pairs = map_batches(bags.where(F.size("members") > 1).select("members"), partial(_cross, percent=percent), "x long, y long").distinct()
-    more = staged(_verified(staged(pairs, "pairs"), sets, percent), "links")
-    final = found
-    if not more.isEmpty():
-        final = components(edges.unionByName(more), "x", "y")
-
-    reps = classes.select(*same, "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    room = room.withColumn("room", F.col("n") - F.coalesce("lone", F.lit(0))).where(100 * F.col("room") >= percent * F.col("n"))
+    room = staged(room, "room")
+    for turn in range(2):
+        if turn == 0:  # the class with the fewest lone shingles is the likeliest centre of its bucket
+            best = F.max_by(F.struct("rep", "component", "n", "room"), F.struct(F.col("room") / F.col("n"), -F.col("rep"))).alias("c")
+            pairs = room.join(room.groupBy("key").agg(best), "key").where("component <> c.component")
+            pairs = pairs.where((100 + percent) * F.least("room", "c.room") >= percent * (F.col("n") + F.col("c.n")))
+            pairs = pairs.select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y"))
+        else:
+            size = F.count(F.lit(1)).alias("size")
+            wide = staged(room.groupBy("key").agg(size).where(F.col("size") > SMALL), "wide")
+            edges = edges.unionByName(_wide_links(room, wide, sets, percent))
+            room = room.join(wide, "key", "left_anti")
+            bags = room.groupBy("key").agg(F.collect_list(F.struct(F.col("rep").alias("id"), "component", "n", "room")).alias("members"))
+            pairs = map_batches(bags.where(F.size("members") > 1).select("members"), partial(_cross, percent=percent), "x long, y long")
+        more = staged(_verified(staged(pairs.distinct(), "pairs"), sets, percent), "links")
+        edges = edges.unionByName(more)
+        if turn or not more.isEmpty():
+            found = staged(components(edges, "x", "y"), "components")
+        if turn == 0:
+            room = staged(_mixed(_labelled(room.drop("component"), found)), "room")
+
+    reps = classes.select(*same, "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     reps = reps.select(*same, F.coalesce("component", "rep").alias("component"))
     out = described.select("id", *same).join(reps, same, "left")
     where = F.coalesce("component", "id")
