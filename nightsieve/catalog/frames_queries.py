@@ -300,8 +300,7 @@ select group_key, 5.5::double as max_fwhm, mx as max_hfr from (select lower(trim
 def _scope_update(spark, d):
     frames = views.frames(spark, d)
     limits = thresholds.auto_thresholds(frames)
-    names = [r[0] for r in limits.select("group_key").limit(1000).collect()]
-    return thresholds.scope_update(limits, "max_fwhm", 5.5, [], names).select("group_key", "max_fwhm", "max_hfr")
+    return thresholds.scope_update(limits, "max_fwhm", 5.5, [], []).select("group_key", "max_fwhm", "max_hfr")
 
 
 @query("threshold_predicate", "select frame_id, auto_rejected from judged", JUDGED)

@@ -33,7 +33,7 @@ from {orders} join {customer} on o_custkey = c_custkey left join (
 
 STARS_SQL = """
 select l_suppkey as frame_id, l_partkey as star_id,
-       cast(l_partkey as double) as x,
+       cast((l_partkey * 131) % 2000 as double) as x,
        cast((l_partkey * 37 + l_suppkey * 101) % 1500 as double) as y,
        min(l_quantity) / 5 as fwhm, max(l_quantity) / 10 as hfr,
        max(l_discount) * 8 as ecc, max(l_extendedprice) as peak, count(*) as n

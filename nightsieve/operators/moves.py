@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from nightsieve.functions.keys import labelled_key, normalize_key
 from nightsieve.plans.ranges import row_index
 
+SUFFIX = "_([0-9]{1,9})$"
+
 
 def move_manifest(
     df: DataFrame,
@@ -23,8 +25,9 @@ def move_manifest(
 ) -> DataFrame:
     """(id, destination) of each rejected row, folder structure kept.
 
-    Files that would meet at one place, ignoring case, get `_1`, `_2`, ... in id
-    order, so a second run names them alike.  A blank destination moves nothing.
+    Of files that would meet at one place, ignoring case, the first in id order keeps its
+    name and the others get `_1`, `_2`, ...: numbers above all that names of the same stem
+    have, so no two rows share a destination and a second run names them alike.  A blank destination moves nothing.
     """
     chosen = df.filter(F.col(rejected) & F.lit(bool(destination.strip())))
     if filter_keys is not None:
@@ -32,12 +35,19 @@ def move_manifest(
     folder = F.when(normalize_key(relative) == "", F.lit(destination)).otherwise(
         F.concat_ws("/", F.lit(destination), F.col(relative))
     )
-    placed = chosen.select(id_col, name, folder.alias("_folder")).withColumn(
-        "_place", F.lower(F.concat_ws("/", "_folder", name))
-    )
-    numbered = row_index(placed, [(id_col, "asc")], keys=["_place"], out="_n")
     stem, dot = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    final = F.when(F.col("_n") == 0, F.col(name)).otherwise(
-        F.concat(stem, F.lit("_"), F.col("_n").cast("string"), dot)
+    base = F.regexp_replace(stem, SUFFIX, "")
+    number = F.regexp_extract(stem, SUFFIX, 1)
+    placed = chosen.select(
+        id_col, name, folder.alias("_folder"), base.alias("_root"), dot.alias("_dot"),
+        F.coalesce(number.try_cast("int"), F.lit(0)).alias("_taken"),
     )
-    return numbered.select(id_col, F.concat_ws("/", "_folder", final).alias("destination"))
+    placed = placed.withColumn("_place", F.lower(F.concat_ws("/", "_folder", name)))
+    placed = placed.withColumn("_family", F.lower(F.concat(F.col("_folder"), F.lit("/"), F.col("_root"), F.col("_dot"))))
+    numbered = row_index(placed, [(id_col, "asc")], keys=["_place"], out="_n")
+    kept = numbered.filter("_n = 0").select(id_col, F.concat_ws("/", "_folder", name).alias("destination"))
+    again = row_index(numbered.filter("_n > 0"), [(id_col, "asc")], keys=["_family"], out="_m")
+    top = placed.groupBy("_family").agg(F.max("_taken").alias("_top"))
+    free = (F.col("_top") + F.col("_m") + 1).cast("string")
+    renamed = F.concat(F.col("_folder"), F.lit("/"), F.col("_root"), F.lit("_"), free, F.col("_dot"))
+    return kept.unionByName(again.join(top, "_family").select(id_col, renamed.alias("destination")))

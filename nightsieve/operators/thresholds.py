@@ -107,16 +107,16 @@ def reset_thresholds(
 def scope_update(
     thresholds: DataFrame, limit: str, value: float | bool, selected: Sequence[str], all_keys: Sequence[str]
 ) -> DataFrame:
-    """Set one limit for the selected groups (none selected = all).
+    """Set one limit for the selected groups (none selected = all rows, and no list of keys is needed).
 
     When the selection covers every group the '' row, from which new groups start,
     is set as well.
     """
-    everything = [k.strip().lower() for k in all_keys]
-    chosen = [k.strip().lower() for k in selected] or everything
-    if set(chosen) >= set(everything):
-        chosen = [*chosen, ""]
-    hit = F.col("group_key").isin(chosen)
+    chosen = {k.strip().lower() for k in selected}
+    if not chosen or chosen >= {k.strip().lower() for k in all_keys}:
+        hit = F.lit(True)
+    else:
+        hit = F.col("group_key").isin(list(chosen))
     new = F.lit(value).cast(_stored_type(limit))
     return thresholds.withColumn(limit, F.when(hit, new).otherwise(F.col(limit)))
 

@@ -184,7 +184,9 @@ def slab_luminance(slabs: DataFrame) -> DataFrame:
     one = slabs.groupBy("path", "y0", "width", "height").agg(
         *[F.max(F.when(F.col("channel") == i, F.col("samples"))).alias(f"_{i}") for i in range(3)]
     )
-    zipped = F.arrays_zip("_0", "_1", F.coalesce("_2", "_1").alias("_2"))
+    # planar files: a blue plane that is missing adds nothing
+    dark = F.transform("_1", lambda _: F.lit(0.0).cast("float"))
+    zipped = F.arrays_zip("_0", "_1", F.coalesce("_2", dark).alias("_2"))
     mixed = F.transform(zipped, lambda s: luminance(s["_0"], s["_1"], s["_2"]).cast("float"))
     return one.select(
         "path", "y0", "width", "height", F.when(F.col("_1").isNull(), F.col("_0")).otherwise(mixed).alias("samples")

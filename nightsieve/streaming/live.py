@@ -127,6 +127,10 @@ class LiveSession:
             rows.write.mode("overwrite").parquet(f"{self.state}/arrivals/batch={batch}")
             fresh = self.spark.read.parquet(f"{self.state}/arrivals/batch={batch}")
             keys = fresh.select(group_key("filter_name").alias("group_key"))
+            if known is not None:  # a replaced file leaves its old group too
+                same = F.lower(F.col(self.id_col).cast("string")) == F.col("_p")
+                old = known.drop("_p").join(fresh.select("_p").distinct(), same, "left_semi")
+                keys = keys.unionByName(old.select(group_key("filter_name").alias("group_key")))
             touched = keys if touched is None else touched.unionByName(keys)
         if touched is not None:
             self.rescore(touched.distinct(), batch)
@@ -146,7 +150,8 @@ class LiveSession:
         now, scores = self.frames(), self._table("scores")
         if now is None or scores is None:
             return None
-        return now.join(scores.select(self.id_col, "group_key", "score"), self.id_col)
+        now = now.withColumn("group_key", group_key("filter_name"))
+        return now.join(scores.select(self.id_col, "group_key", "score"), [self.id_col, "group_key"])
 
     def on_arrivals(self, batch_df: DataFrame, batch: int) -> None:
         """foreachBatch body for a stream of arrivals."""

@@ -207,3 +207,28 @@ def test_session_round_trip(spark, tmp_path):
     assert {r["show_rejected"] for r in documents.session_settings(back).collect()} == {False}
     frames = documents.session_frames(back).select(*df.columns)
     assert sorted(map(tuple, frames.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_moves_share_no_destination(spark):
+    from nightsieve.operators.moves import move_manifest
+
+    names = ["a.fits", "a.fits", "a_1.fits", "A.fits", "b", "b", "a_1.fits"]
+    df = spark.createDataFrame([(i, n, "", "Ha", True) for i, n in enumerate(names)], "frame_id int, file_name string, relative_path string, filter_name string, is_rejected boolean")
+    got = {r[0]: r[1] for r in move_manifest(df, "/rej").collect()}
+    assert len({v.lower() for v in got.values()}) == len(names)
+    assert (got[0], got[2], got[4], got[5]) == ("/rej/a.fits", "/rej/a_1.fits", "/rej/b", "/rej/b_1")
+
+
+def test_two_planes_have_no_blue(spark):
+    from nightsieve.sources.fits import slab_luminance
+
+    rows = [("p", 0, 1, 1, c, [v]) for c, v in ((0, 100.0), (1, 200.0))]
+    slabs = spark.createDataFrame(rows, "path string, y0 int, width int, height int, channel int, samples array<float>")
+    assert abs(slab_luminance(slabs).first()["samples"][0] - 164.30) < 1e-3
+
+
+def test_scope_update_reaches_every_group(spark):
+    from nightsieve.operators.thresholds import scope_update
+
+    limits = spark.range(1500).selectExpr("cast(id as string) as group_key", "1.0d as max_fwhm")
+    assert scope_update(limits, "max_fwhm", 5.5, [], []).filter("max_fwhm = 5.5").count() == 1500
