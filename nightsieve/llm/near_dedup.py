@@ -15,7 +15,7 @@ from nightsieve.llm.components import components
 from nightsieve.shipping import ship
 
 SMALL = 64
-TILE = 1024
+TILE = 512
 EMPTY = U((1 << 64) - 1)
 
 

@@ -15,7 +15,7 @@ _FIRST = "\x01"
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(path: str, limit: int = 1_200_000) -> "Encoder":
+def encoder(path: str, limit: int = 800_000) -> "Encoder":
     """One encoder a worker process and file."""
     if (path, limit) not in _LOADED:
         _LOADED[path, limit] = Encoder(path, limit)
