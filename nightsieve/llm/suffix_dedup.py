@@ -25,7 +25,7 @@ from nightsieve.llm.common import map_batches, map_partitions, staged
 WINDOW = 64
 PLACES = U((1 << 28) - 1)
 SHARDS = 4
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
