@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +50,21 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.Reco
     return map_partitions(df, run, schema)
 
 
+def _then_released(batches: Iterator[pa.RecordBatch], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Run the work, then hand free memory back to the system: the worker process stays for later tasks."""
+    try:
+        yield from work(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def map_partitions(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """`mapInArrow` with the package sent to the executors first."""
     ship(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(partial(_then_released, work=work), schema)
 
 
 def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
