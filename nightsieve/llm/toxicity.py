@@ -23,6 +23,7 @@ from nightsieve.llm.common import map_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 4
+TEXTS = 200  # scored at a time
 
 
 @dataclass
@@ -225,9 +226,11 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", limit: fl
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
-    def run(batch: pa.RecordBatch):
-        for scored in _score(pa.RecordBatch.from_arrays([batch.column(place)] * 2, ["id", "text"]), shared.value, limit):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *scored.columns[1:]], [*batch.schema.names, "score", "passages"])
+    def run(whole: pa.RecordBatch):
+        for at in range(0, whole.num_rows, TEXTS):
+            batch = whole.slice(at, TEXTS)
+            for scored in _score(pa.RecordBatch.from_arrays([batch.column(place)] * 2, ["id", "text"]), shared.value, limit):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *scored.columns[1:]], [*batch.schema.names, "score", "passages"])
 
     extra = F.lit(0.0).cast("double").alias("score"), F.lit(None).cast("array<struct<first:int,end:int,strength:double>>").alias("passages")
     return map_batches(docs, run, docs.select("*", *extra).schema)
@@ -241,8 +244,9 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch):
-        yield from _score(batch, shared.value, limit)
+    def run(whole: pa.RecordBatch):
+        for at in range(0, whole.num_rows, TEXTS):
+            yield from _score(whole.slice(at, TEXTS), shared.value, limit)
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
