@@ -23,6 +23,8 @@ REFRESH = 1024  # ids between new order-0 counts
 U = np.uint64
 _LOW_BITS = U((1 << 40) - 1)
 _ONE = U(1)
+#: The confidence that follows 0 to 3, after a miss and after a hit.
+_CONFIDENCE = np.array([0, 1, 0, 2, 1, 3, 2, 3], np.uint8)
 _MAGIC = b"NSRC1\0\0\0"
 
 
@@ -76,19 +78,21 @@ class _Model:
         conf2, conf1 = self.conf2[at2], self.conf1[at1]
         row = (lane << 5) + (conf2 << 3) + (conf1 << 1) + (two == one)
         weight = self.mix[row]
-        return at2, at1, two, one, conf2, conf1, row, weight[:, 0], weight[:, 1]
+        return at2, at1, two, one, conf2, conf1, row, weight[:, 0], weight[:, 1], weight
 
     def learn(self, n: int, symbol: np.ndarray, seen) -> None:
-        at2, at1, two, one, conf2, conf1, row, w2, w1 = seen
+        at2, at1, two, one, conf2, conf1, row, _, _, weight = seen
         hit2, hit1 = two == symbol, one == symbol
         for sym, conf, at, was, old, hit in ((self.sym2, self.conf2, at2, two, conf2, hit2), (self.sym1, self.conf1, at1, one, conf1, hit1)):
-            conf[at] = np.where(hit, np.minimum(old + 1, 3), np.maximum(old, 1) - 1)
+            conf[at] = _CONFIDENCE[(old << 1) + hit]
             sym[at] = np.where(hit | (old > 0), was, symbol)
         goal = np.empty((n, 2), np.int64)
         goal[:, 0] = np.where(hit2, 65536 - 256, 64)
         goal[:, 1] = np.where(hit1 & ~hit2, 65536 - 256, 64)
-        step = self.mix[row]
-        self.mix[row] = step + ((goal - step) >> 5)
+        goal -= weight
+        goal >>= 5
+        goal += weight
+        self.mix[row] = goal
         self.counts.reshape(-1)[self.lane[:n] * self.width + symbol] += 24
         self.before[:n] = self.last[:n]
         self.last[:n] = symbol
@@ -108,15 +112,16 @@ class _Range:
         self.low[:n] += unit * start.astype(U)
         self.range[:n] = unit * size.astype(U)
 
-    def ready(self, n: int) -> np.ndarray:
-        """The lanes whose leading 16 bits are settled; a short range across a border is cut there."""
-        low, wide = self.low[:n], self.range[:n]
+    def ready(self, lanes: np.ndarray | slice) -> np.ndarray:
+        """Which of the lanes have their leading 16 bits settled; a short range across a border is cut there."""
+        low, wide = self.low[lanes], self.range[lanes]
         settled = ((low ^ (low + (wide - _ONE))) >> U(48)) == 0
         short = ~settled & (wide <= _LOW_BITS)
         if short.any():
             wide[short] = (~low[short] + _ONE) & _LOW_BITS
+            self.range[lanes] = wide
             settled |= short
-        return np.flatnonzero(settled)
+        return settled
 
     def shift(self, lanes: np.ndarray) -> None:
         self.low[lanes] <<= U(16)
@@ -150,12 +155,12 @@ def _encode_lanes(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         start = np.where(hit2, 0, np.where(hit1, w2 << SLOTS, ((w2 + w1) << SLOTS) + w0 * model.start[at]))
         size = np.where(hit2, w2 << SLOTS, np.where(hit1, w1 << SLOTS, w0 * model.share[at]))
         coder.narrow(m, coder.unit(m), start, size)
-        lanes = coder.ready(m)
+        lanes = np.flatnonzero(coder.ready(slice(m)))
         while len(lanes):
             out[lanes, used[lanes]] = coder.low[lanes] >> U(48)
             used[lanes] += 1
             coder.shift(lanes)
-            lanes = lanes[np.isin(lanes, coder.ready(m))] if len(lanes) else lanes
+            lanes = lanes[coder.ready(lanes)]
         model.learn(m, symbol, seen)
     for _ in range(4):
         out[np.arange(n), used] = coder.low >> U(48)
@@ -193,12 +198,12 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         start = np.where(hit2, 0, np.where(hit1, edge2, edge1 + w0 * model.start[at]))
         size = np.where(hit2, edge2, np.where(hit1, w1 << SLOTS, w0 * model.share[at]))
         coder.narrow(m, unit, start, size)
-        lanes = coder.ready(m)
+        lanes = np.flatnonzero(coder.ready(slice(m)))
         while len(lanes):
             code[lanes] = (code[lanes] << U(16)) | words[lanes, np.minimum(used[lanes], words.shape[1] - 1)].astype(U)
             used[lanes] += 1
             coder.shift(lanes)
-            lanes = lanes[np.isin(lanes, coder.ready(m))] if len(lanes) else lanes
+            lanes = lanes[coder.ready(lanes)]
         grid[step, :m] = symbol
         model.learn(m, symbol, seen)
     return grid
