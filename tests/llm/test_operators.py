@@ -181,6 +181,22 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), labels, rules).count() == 0
 
 
+def test_url_filter_keeps_branches_of_opposite_purity(spark):
+    urls = {k: f"http://one.info/{'casino' if k < 100 else 'news'}/{k % 100}" for k in range(200)}  # the same numbers below both
+    urls |= {200 + k: f"http://flat.info/{'poker' if k < 60 else 'about'}?{k}" for k in range(120)}  # no children
+    urls |= {400 + k: f"http://two.info/{lang}/{('docs', 'help', 'shop')[k % 3]}/{k}" for k, lang in enumerate(("en", "de", "fr") * 20)}
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    bad = {k: int(k < 100 or 200 <= k < 260) for k in range(320)} | {400 + k: 0 for k in range(60)}
+    labels = spark.createDataFrame(list(bad.items()), "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, []).collect()}
+    assert got == {k: "block" if bad[k] else "allow" for k in urls}
+    paths = [(f"/{lang}/{part}/{k}", 1 if lang == "xx" else 0) for lang in ("en", "de", "fr", "xx") for part in ("docs", "help", "shop") for k in range(9)]
+    rows = spark.createDataFrame([("h", p, b) for p, b in paths] + [("h", "/top", None), ("only", "/a/b/1", None)], "host string, path string, bad int")
+    placed = {(r.host, *r.parts): r.template for r in url_filter.templates(rows).collect()}
+    assert placed["h", "en", "docs", "3"] == placed["h", "fr", "docs", "4"] == "/*/docs/*" and placed["h", "xx", "docs", "3"] == "/xx/docs/*"
+    assert placed["h", "top"] == "/top" and placed["only", "a", "b", "1"] == "/a/b/*"
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
