@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from nightsieve.llm.common import staged
 
 ANY = "*"
-DEPTH = 4
 
 
 def host_of(url: Column) -> Column:
@@ -31,10 +30,7 @@ def rule_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def segments(path: Column) -> Column:
-    """The levels of a path; what is deeper than the last is one segment."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 20), "/")))
-    return F.when(F.size(parts) > DEPTH, deep).otherwise(parts)
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
 def templates(
@@ -43,10 +39,9 @@ def templates(
     """(host, parts, template, known, bad) of rows (host, path, bad): the branch of its host's tree that each path is on.
 
     `bad` is 0, 1 or null where there is no label; `known` and `bad` of the result count the labelled and the bad rows of a path.
-    A path has at most four levels; what is deeper is one segment.  From the root down, a segment becomes the wildcard `*` where it
-    holds a digit, or where a parent has at least `kinds` different segments and these are `spread` of its pages or more.  Then
-    siblings are merged into one wildcard, each level by itself, where `_alike` finds evidence for it.  Counts are grouped sums; no
-    tree meets one task.
+    A path has as many levels as segments.  From the root down, a segment becomes the wildcard `*` where it holds a digit, or
+    where a parent has at least `kinds` different segments and these are `spread` of its pages or more.  Then siblings are merged
+    into one wildcard, each level by itself, where `_alike` finds evidence for it.  Counts are grouped sums; no tree meets one task.
     """
     paths = pages.select("host", segments(F.col("path")).alias("parts"), "bad")
     counts = F.count(F.lit(1)).alias("n"), F.count("bad").alias("known"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad")

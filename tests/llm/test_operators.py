@@ -197,6 +197,14 @@ def test_url_filter_keeps_branches_of_opposite_purity(spark):
     assert placed["h", "top"] == "/top" and placed["only", "a", "b", "1"] == "/a/b/*"
 
 
+def test_url_filter_reads_deep_paths(spark):
+    urls = {k: f"http://deep.info/a/b/c/d/e/{'shop' if k < 40 else 'blog'}/{k % 40}" for k in range(80)} | {80: "http://deep.info/" + "x/" * 300 + "9"}
+    pages = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, []).collect()}
+    assert got == {k: "block" if k < 40 else "allow" for k in urls}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
