@@ -113,12 +113,14 @@ def star_points(pixels: DataFrame, levels: DataFrame, keys: Sequence[str]) -> Da
     return peaks.join(kept, [*keys, "star_id"], "left_semi")
 
 
-def detect_stars(pixels: DataFrame, levels: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Measurements of the brightest 2000 stars, and (keys…, star_count) of all found."""
+def detect_stars(
+    pixels: DataFrame, levels: DataFrame, keys: Sequence[str], limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Measurements of all stars, or of the `limit` brightest, and (keys…, star_count) of all found."""
     points = cut(star_points(pixels, levels, keys))
     counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("star_count"))
     order = [F.col("peak").desc(), F.col("y"), F.col("x")]
-    top = top_k_per_group(points, keys, order, stars.MEASURED_STARS, "_rn")
+    top = points if limit is None else top_k_per_group(points, keys, order, limit, "_rn")
 
     def inside(at: str, size: str) -> Column:
         return F.least(F.greatest(F.col(at), F.lit(3)), F.col(size) - 4)
@@ -130,14 +132,14 @@ def detect_stars(pixels: DataFrame, levels: DataFrame, keys: Sequence[str]) -> t
 
 
 def frame_levels(pixels: DataFrame, frames: DataFrame, keys: Sequence[str], cap: int | None = None) -> DataFrame:
-    """(keys…, width, height, median, mad, background, sigma) from the strided sample of each raster."""
+    """(keys…, width, height, median, mad, background, sigma) from all samples of each raster, or a strided `cap` of them."""
     sized = with_group_values(pixels.select(*keys, "y", "x", "v"), keys, frames.select(*keys, "width", "height"))
     size = F.col("width").cast("bigint") * F.col("height")
     position = F.col("y").cast("bigint") * F.col("width") + F.col("x")
-    sample = stride_sample(sized, position, size, **({"cap": cap} if cap else {}))
-    # statistics of at most 200 000 samples per frame follow from their value counts
+    sample = stride_sample(sized, position, size, cap)
+    # the statistics follow from the value counts
     counts = cut(sample.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n")))
-    centers, _ = checked(mad(counts, keys, "v", weight="n", bounded=True))
+    centers, _ = checked(mad(counts, keys, "v", weight="n", bounded=cap is not None))
     delta = F.col("v") - F.col("median")
     spread = with_group_values(counts, keys, centers).groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("n") * delta * delta) / F.sum("n")).alias("sigma")
@@ -176,7 +178,7 @@ def frame_metrics(pixels: DataFrame, frames: DataFrame, keys: Sequence[str] = ("
     bright = with_group_values(measured, keys, extrema.select(*keys, F.col("max").alias("_top")))
     good = stars.star_quality_filter(bright, keys, F.col("_top"))
     placed = with_group_values(good, keys, levels.select(*keys, "width", "height"))
-    shape = center_weighted_medians(placed, keys, ["fwhm", "hfr", "ecc"], F.col("width"), F.col("height"), bounded=True)
+    shape = center_weighted_medians(placed, keys, ["fwhm", "hfr", "ecc"], F.col("width"), F.col("height"))
     small, sizes = trail_raster(pixels, frames, keys)
     trails = trail.detect_trail(small, sizes, keys)
     zero = F.lit(0.0)

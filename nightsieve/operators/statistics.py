@@ -13,8 +13,6 @@ from nightsieve.plans.lookup import checked, lookup_join
 from nightsieve.plans.ranges import row_index, value_prefix, with_halo
 from nightsieve.schema import finite
 
-SAMPLE_CAP = 200_000  # fixed value: order statistics of an image use at most this many samples
-
 
 def _holding(index: Column) -> Column:
     """The distinct value whose rows cover a 0-based position."""
@@ -172,11 +170,13 @@ def trimmed_median(df: DataFrame, keys: Sequence[str], value: str, out: str = "t
     )
 
 
-def stride_sample(df: DataFrame, position: Column | str, size: Column | int, cap: int = SAMPLE_CAP) -> DataFrame:
-    """Rows at positions floor(i * size / cap), all rows when there are no more than `cap`.
+def stride_sample(df: DataFrame, position: Column | str, size: Column | int, cap: int | None = None) -> DataFrame:
+    """Rows at positions floor(i * size / cap), all rows when there are no more than `cap` or it is None.
 
     The position of a raster sample follows from its coordinates, so this is a filter.
     """
+    if cap is None:
+        return df
     p = (F.col(position) if isinstance(position, str) else position).cast("double")
     n = (F.lit(size) if isinstance(size, int) else size).cast("double")
     stride = n / F.lit(float(cap))
@@ -188,8 +188,8 @@ def stride_sample(df: DataFrame, position: Column | str, size: Column | int, cap
     return df.filter((n <= cap) | hit)
 
 
-def sample_size(size: Column, cap: int = SAMPLE_CAP) -> Column:
-    return F.least(size, F.lit(cap))
+def sample_size(size: Column, cap: int | None = None) -> Column:
+    return size if cap is None else F.least(size, F.lit(cap))
 
 
 def correlation(df: DataFrame, keys: Sequence[str], a: str, b: str, out: str = "correlation") -> DataFrame:
@@ -214,15 +214,15 @@ def max_gap(df: DataFrame, keys: Sequence[str], value: str, out: str = "max_gap"
 
 def auto_stretch(
     df: DataFrame, keys: Sequence[str], value: str, data_max: Column | float = 1.0, target: float = 0.25,
-    position: Column | str | None = None, size: Column | int | None = None,
+    position: Column | str | None = None, size: Column | int | None = None, cap: int | None = None,
 ) -> DataFrame:
     """(keys…, shadows, midtones, highlights) per group from its median and MAD.
 
-    Pass `position` and `size` to use the strided sample of large rasters; add the
+    Pass `position`, `size` and `cap` to use the strided sample of large rasters; add the
     channel to `keys` for one curve per colour plane.
     """
     top = F.greatest(F.lit(1.0), F.lit(float(data_max)) if isinstance(data_max, (int, float)) else data_max)
-    rows = df if position is None else stride_sample(df, position, size)
+    rows = df if position is None else stride_sample(df, position, size, cap)
     rows = rows.withColumn("_n", F.col(value) / top)
     stats = mad(rows, keys, "_n")
     shadows, midtones, highlights = curve_from_statistics("median", "mad", target)

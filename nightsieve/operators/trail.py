@@ -14,7 +14,6 @@ from nightsieve.operators.statistics import max_gap, nearest_rank_percentile, st
 from nightsieve.session import cut
 
 ANGLES = 180  # fixed value: angle bins of a half turn
-TRAIL_CANDIDATES = 2000  # fixed value
 
 
 def _c(value: Column | float) -> Column:
@@ -158,11 +157,11 @@ def trail_gates_score(
 
 
 def trail_candidates(
-    pixels: DataFrame, keys: Sequence[str], width: Column, height: Column
+    pixels: DataFrame, keys: Sequence[str], width: Column, height: Column, cap: int | None = None
 ) -> DataFrame:
     """(keys…, y, x, signal, threshold): samples with strong support in exactly one direction.
 
-    `pixels` are full rasters carrying `width` and `height` columns.
+    `pixels` are full rasters carrying `width` and `height` columns; `cap` limits the samples behind the threshold.
     """
     blurred = box_blur(pixels, keys, 2, width, height)
     # read three times below; the blur behind it should run once
@@ -170,8 +169,8 @@ def trail_candidates(
         *keys, "y", "x", "e", width.alias("_w"), height.alias("_h")
     ))
     position = F.col("y").cast("bigint") * F.col("_w") + F.col("x")
-    sampled = stride_sample(residual, position, F.col("_w").cast("bigint") * F.col("_h"))
-    levels = nearest_rank_percentile(sampled, keys, "e", {"_p": 0.997}, bounded=True).select(
+    sampled = stride_sample(residual, position, F.col("_w").cast("bigint") * F.col("_h"), cap)
+    levels = nearest_rank_percentile(sampled, keys, "e", {"_p": 0.997}, bounded=cap is not None).select(
         *keys, F.greatest(F.lit(1e-6), F.col("_p")).alias("threshold")
     )
     lit = with_group_values(residual, keys, levels)
@@ -184,16 +183,18 @@ def trail_candidates(
     ).select(*keys, "y", "x", "signal", "threshold")
 
 
-def detect_trail(pixels: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+def detect_trail(
+    pixels: DataFrame, frames: DataFrame, keys: Sequence[str], limit: int | None = None, cap: int | None = None
+) -> DataFrame:
     """(keys…, confidence, x1, y1, x2, y2) for every frame; confidence 0 without a trail.
 
-    `frames` lists the rasters with their width and height.
+    `frames` lists the rasters with their width and height; `limit` keeps the strongest candidates only.
     """
     sized = with_group_values(pixels, keys, frames.select(*keys, "width", "height"))
     large = sized.filter((F.col("width") >= 16) & (F.col("height") >= 16))
-    found = trail_candidates(large, keys, F.col("width"), F.col("height"))
+    found = trail_candidates(large, keys, F.col("width"), F.col("height"), cap)
     order = [F.col("signal").desc(), F.col("y"), F.col("x")]
-    top = top_k_per_group(found, keys, order, TRAIL_CANDIDATES, "_rn").drop("_rn")
+    top = cut(found) if limit is None else top_k_per_group(found, keys, order, limit, "_rn").drop("_rn")
     enough = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= 12).select(*keys)
     points = with_group_values(top.join(enough, list(keys), "left_semi"), keys, frames.select(*keys, "width", "height"))
     w, h = F.col("width").cast("double"), F.col("height").cast("double")

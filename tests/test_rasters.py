@@ -257,3 +257,24 @@ def test_large_rasters_use_the_strided_sample(spark):
     image = np.arange(1000.0).reshape(20, 50)
     got = [r["v"] for r in statistics.stride_sample(pixel_frame(spark, {1: image}), F.col("y") * 50 + F.col("x"), 1000, cap=333).orderBy("v").collect()]
     assert got == [float(int(i * (1000 / 333))) for i in range(333)]
+
+
+def test_no_star_or_sample_is_left_out(spark):
+    edge = [(0, i, float(i % 400), 2.0, 100.0 + i) for i in range(2100)]  # brighter than the one star inside the margin
+    df = spark.createDataFrame([*edge, (0, 9999, 200.0, 150.0, 5.0)], "frame_id bigint, star_id bigint, x double, y double, peak double")
+    assert [r["star_id"] for r in stars.anchor_points(df, "frame_id", "star_id", 400, 300).collect()] == [9999]
+    wide = spark.range(500 * 401).select(
+        F.lit(1).alias("frame_id"), F.floor(F.col("id") / 500).cast("int").alias("y"), (F.col("id") % 500).cast("int").alias("x"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id").cast("double")).alias("v"))
+    frames = spark.createDataFrame([(1, 500, 401)], "frame_id int, width int, height int")
+    want = np.where(np.arange(500 * 401) % 3 == 0, 0.0, np.arange(500.0 * 401))
+    [got] = detection.frame_levels(wide, frames, ["frame_id"]).collect()
+    assert got["median"] == np.sort(want)[round(0.5 * (len(want) - 1))]
+    points = np.array([(x, y) for y in range(14, 14 + 16 * 46, 16) for x in range(14, 14 + 16 * 46, 16)])
+    image = np.full((750, 750), 100.0)
+    for dy in range(-3, 4):
+        for dx in range(-3, 4):
+            image[points[:, 1] + dy, points[:, 0] + dx] += 500 * np.exp(-(dy * dy + dx * dx) / 1.6)
+    levels = spark.createDataFrame([(1, 100.0, 5.0, 750, 750)], "frame_id int, background double, sigma double, width int, height int")
+    measured, counts = detection.detect_stars(pixel_frame(spark, {1: image}), levels, ["frame_id"])
+    assert counts.first()["star_count"] > 2000 and measured.count() > 2000
