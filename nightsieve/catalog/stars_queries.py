@@ -210,8 +210,13 @@ so as (select *, list_sort([{{'d': d1, 'o': 0, 'v': k}}, {{'d': d2, 'o': 1, 'v':
 tg as (select frame_id, s[1].v::int as a, s[2].v::int as b, s[3].v::int as c, s[1].d / s[3].d as ratio1, s[2].d / s[3].d as ratio2, a2 / (s[3].d * s[3].d) as area from so where s[3].d > 1e-6)"""
 
 
-def triangles(spark, d):
-    return stars.triangle_signatures(views.stars(spark, d), K, "star_id", 8)
+def triangles(spark, d, count=8):
+    return stars.triangle_signatures(views.stars(spark, d), K, "star_id", count)
+
+
+def full(sql):
+    """The SQL over as many stars as the operator takes by itself."""
+    return sql.replace("qualify rn < 8)", f"qualify rn < {stars.TRIANGLE_STARS})")
 
 
 @query("triangle_signatures", f"with {TRIANGLES} select * from tg where area >= 0.05", ("stars",))
@@ -219,6 +224,11 @@ def _triangle_signatures(spark, d):
     return triangles(spark, d)
 
 
+@query("triangle_signatures_full", full(f"with {TRIANGLES} select * from tg where area >= 0.05"), ("stars",))
+def _triangle_signatures_full(spark, d):
+    return triangles(spark, d, stars.TRIANGLE_STARS)
+
+
 MATCH = f"""{TRIANGLES}, ref as (select * from tg where area >= 0.05 and frame_id = (select min(frame_id) from stars)), cd as (select * from tg where area >= 0.05),
 mt as (select cd.frame_id, ref.a as r_a, ref.b as r_b, ref.c as r_c, cd.a, cd.b, cd.c, abs(ref.ratio1 - cd.ratio1) + abs(ref.ratio2 - cd.ratio2) + abs(ref.area - cd.area) as error
  from cd join ref on abs(ref.ratio1 - cd.ratio1) <= 0.02 and abs(ref.ratio2 - cd.ratio2) <= 0.02 and abs(ref.area - cd.area) <= 0.015),
@@ -231,13 +241,18 @@ def _band_match(spark, d):
     return found.withColumn("error", F.round("error", 12))
 
 
-def matches(spark, d):
-    every = triangles(spark, d)
+@query("band_match_full", full(f"with {MATCH} select frame_id, r_a, r_b, r_c, a, b, c, round(error, 12) as error from bm"), ("stars",))
+def _band_match_full(spark, d):
+    return matches(spark, d, stars.TRIANGLE_STARS).withColumn("error", F.round("error", 12))
+
+
+def matches(spark, d, count=8):
+    every = triangles(spark, d, count)
     first = every.filter(F.col("frame_id") == every.agg(F.min("frame_id")).scalar())
     return stars.band_match(first, every, K)
 
 
-@query("triangle_votes", f"""
+VOTES = f"""
 with {MATCH}, md as (select frame_id, median(fwhm) as scale from stars where fwhm > 0 group by 1), rs as (select tp.*, scale from tp join md using (frame_id)),
 v as (select m.frame_id, r.x - c.x * least(greatest(r.scale / c.scale, 0.75::double), 1.25::double) as dx, r.y - c.y * least(greatest(r.scale / c.scale, 0.75::double), 1.25::double) as dy
  from (select frame_id, unnest([r_a, r_b, r_c]) as rp, unnest([a, b, c]) as cp from bm) m
@@ -246,14 +261,26 @@ l as (select frame_id, list_sort(list(dx)) as lx, list_sort(list(dy)) as ly from
 p as (select frame_id, lx[len(lx) // 2 + 1] as mx, ly[len(ly) // 2 + 1] as my from l)
 select frame_id, round_even(any_value(mx), 0)::int as dx, round_even(any_value(my), 0)::int as dy, round(count_if((dx - mx) * (dx - mx) + (dy - my) * (dy - my) <= 64) / count(*)::double, 9) as score
 from v join p using (frame_id) group by 1
-""", ("stars",))
+"""
+
+
+@query("triangle_votes", VOTES, ("stars",))
 def _triangle_votes(spark, d):
+    return votes(spark, d, 8)
+
+
+@query("triangle_votes_full", full(VOTES), ("stars",))
+def _triangle_votes_full(spark, d):
+    return votes(spark, d, stars.TRIANGLE_STARS)
+
+
+def votes(spark, d, count):
     df = views.stars(spark, d)
     order = [F.col("peak").desc(), F.col("y"), F.col("x"), F.col("star_id")]
-    top = ordering.top_k_per_group(df, K, order, 8, "position").withColumn("position", F.col("position") - 1)
+    top = ordering.top_k_per_group(df, K, order, count, "position").withColumn("position", F.col("position") - 1)
     scaled = statistics.with_group_values(top, K, statistics.median_metric(df, K).withColumnRenamed("median", "scale"))
     first = scaled.filter(F.col("frame_id") == scaled.agg(F.min("frame_id")).scalar())
-    return rounded(stars.triangle_votes(matches(spark, d), first, scaled, K), "score")
+    return rounded(stars.triangle_votes(matches(spark, d, count), first, scaled, K), "score")
 
 
 SIGMA64 = max(1.5, 64 * 0.015)

@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nightsieve import catalog
 from nightsieve.functions import display, keys, tone
-from nightsieve.operators import ordering, scoring, statistics, summary, thresholds, verdicts
+from nightsieve.operators import ordering, scoring, stars, statistics, summary, thresholds, verdicts
 from nightsieve.plans import ranges
 from nightsieve.plans.lookup import checked
 from nightsieve.schema import Limits, ScoredMetric, limits_table
@@ -232,3 +233,9 @@ def test_scope_update_reaches_every_group(spark):
 
     limits = spark.range(1500).selectExpr("cast(id as string) as group_key", "1.0d as max_fwhm")
     assert scope_update(limits, "max_fwhm", 5.5, [], []).filter("max_fwhm = 5.5").count() == 1500
+
+
+def test_triangles_are_registered_over_all_stars_of_the_operator(spark):
+    got = catalog.queries()["triangle_signatures_full"](spark, "/root/testdata/sf0.001")
+    corners = {c for r in got.collect() for c in (r["a"], r["b"], r["c"])}
+    assert corners == set(range(stars.TRIANGLE_STARS))
