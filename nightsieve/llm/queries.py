@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightsieve.llm import chat, decontamination, near_dedup, neighbours, packing, suffix_dedup, token_files, toxicity, url_filter, warc
+from nightsieve.llm import (
+    chat, decontamination, merkle, near_dedup, neighbours, packing, periodic_runs, simhash, suffix_dedup, token_files, toxicity, url_filter, warc,
+)
 from nightsieve.llm.common import table
 
 
@@ -91,8 +93,96 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where ten divides the crc32 of the id, the words from some place on repeat those there with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    gap = "[\\x20\\x09-\\x0D]+"
+    words = F.filter(F.split("text", gap), lambda w: w != "")
+    n = F.size("words")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    moved = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("words"), F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    return rows.select("doc_id", F.when(F.coalesce(n, F.lit(0)) > 0, moved).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_planted(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = merkle.leaf_digest([F.col(n) for n in names])
+    changed = merkle.leaf_digest([*(F.col(n) for n in names[:-1]), F.replace("text", F.lit("\n"), F.lit(""))])
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), changed)
+    leaves = docs.select("doc_id", "source", leaf.alias("leaf"), tampered.alias("changed"))
+    leaves = leaves.select("doc_id", "source", "leaf", F.coalesce("changed", "leaf").alias("shown"))
+    tree = merkle.manifest(leaves, "source", ["doc_id"])
+    rows = merkle.verified(tree.leaves, tree.root, "shown")
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP12_SQL = """
+with recursive docs as (
+  select doc_id, source, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-')
+    || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+    || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') as head, text,
+    list_reduce(
+      list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+        lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)) as crc
+  from documents
+), leaves as (
+  select *, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(head || case when xor(crc, 4294967295) % 2 = 0 then coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')
+      else coalesce(octet_length(encode(text)) || ':' || text, '-') end) as shown,
+    row_number() over (partition by source order by doc_id nulls first) - 1 as pos
+  from docs
+), low as (
+  select source, 0 as lev, pos, leaf as node, count(*) over (partition by source) as n from leaves
+  union all
+  select source, lev + 1, pos // 3, sha256(string_agg(node, '' order by pos)), (max(n) + 2) // 3 from low where n > 1 group by source, lev, pos // 3
+), subroots as (
+  select source, node as subroot, row_number() over (order by source nulls first) - 1 as pos from low where n = 1
+), high as (
+  select 0 as lev, pos, subroot as node, (select count(*) from subroots) as n from subroots
+  union all
+  select lev + 1, pos // 3, sha256(string_agg(node, '' order by pos)), (max(n) + 2) // 3 from high where n > 1 group by lev, pos // 3
+), low_flanks as (
+  select a.source, a.lev, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+    coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from low a join low b on a.source is not distinct from b.source and a.lev = b.lev and a.pos // 3 = b.pos // 3 where a.n > 1 group by a.source, a.lev, a.pos
+), high_flanks as (
+  select a.lev, a.pos, coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos < a.pos), '') as l,
+    coalesce(string_agg(b.node, '' order by b.pos) filter (b.pos > a.pos), '') as r
+  from high a join high b on a.lev = b.lev and a.pos // 3 = b.pos // 3 where a.n > 1 group by a.lev, a.pos
+), steps as (
+  select e.doc_id, e.pos as place, e.source, f.lev, f.l, f.r from leaves e join low_flanks f
+    on e.source is not distinct from f.source and f.pos = e.pos // (3 ** f.lev)::bigint
+  union all
+  select e.doc_id, e.pos, e.source, 1000 + f.lev, f.l, f.r from leaves e join subroots s on e.source is not distinct from s.source
+    join high_flanks f on f.pos = s.pos // (3 ** f.lev)::bigint
+), paths as (
+  select place, source, array_agg(list_value(l, r) order by lev) as path from steps group by place, source
+)
+select e.doc_id, e.leaf, s.subroot, t.root, sha256(coalesce(array_to_string(flatten(p.path), ''), '')) as proof_sha256,
+  list_reduce(list_prepend(['', e.shown, ''], coalesce(p.path, [])), lambda x, y: ['', sha256(y[1] || x[2] || y[2]), ''])[2] as folded_root,
+  folded_root = t.root as verified
+from leaves e join subroots s on e.source is not distinct from s.source
+cross join (select node as root from high where n = 1) t
+left join paths p on p.place = e.pos and p.source is not distinct from e.source
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_warc, op2_token_files, op3_toxicity, op4_packing, op5_neighbours, op6_decontamination, op7_suffix_dedup, op8_chat,
-    op9_url_filter, op10_near_dedup,
+    op9_url_filter, op10_near_dedup, op11_periodic_runs, op12_merkle, op13_simhash,
 )}
-CHECKS: dict[str, str] = {"op6_decontamination": OP6_SQL}
+CHECKS: dict[str, str] = {"op6_decontamination": OP6_SQL, "op12_merkle": OP12_SQL}
