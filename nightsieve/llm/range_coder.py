@@ -14,12 +14,12 @@ import zlib
 
 import numpy as np
 
-BLOCK = 16_384
-LANES = 512
+BLOCK = 2048
+LANES = 1024
 UNIT = 16  # bits of the weights
 SLOTS = 14  # bits of the order-0 counts
-CONTEXTS = 13  # bits of the order-2 table
-REFRESH = 1024  # ids between new order-0 counts
+CONTEXTS = 11  # bits of the order-2 table, as many as a block can fill
+REFRESH = 256  # ids between new order-0 counts
 U = np.uint64
 _LOW_BITS = U((1 << 40) - 1)
 _ONE = U(1)
@@ -74,17 +74,17 @@ class _Model:
         lane, last = self.lane[:n], self.last[:n]
         hashed = (last * 40503 + self.before[:n] * 30011) & ((1 << CONTEXTS) - 1)
         at2, at1 = (lane << CONTEXTS) + hashed, lane * self.width + last
-        two, one = self.sym2[at2], self.sym1[at1]
-        conf2, conf1 = self.conf2[at2], self.conf1[at1]
+        two, one = self.sym2.take(at2), self.sym1.take(at1)
+        conf2, conf1 = self.conf2.take(at2), self.conf1.take(at1)
         row = (lane << 5) + (conf2 << 3) + (conf1 << 1) + (two == one)
-        weight = self.mix[row]
+        weight = self.mix.take(row, 0)
         return at2, at1, two, one, conf2, conf1, row, weight[:, 0], weight[:, 1], weight
 
     def learn(self, n: int, symbol: np.ndarray, seen) -> None:
         at2, at1, two, one, conf2, conf1, row, _, _, weight = seen
         hit2, hit1 = two == symbol, one == symbol
         for sym, conf, at, was, old, hit in ((self.sym2, self.conf2, at2, two, conf2, hit2), (self.sym1, self.conf1, at1, one, conf1, hit1)):
-            conf[at] = _CONFIDENCE[(old << 1) + hit]
+            conf[at] = _CONFIDENCE.take((old << 1) + hit)
             sym[at] = np.where(hit | (old > 0), was, symbol)
         goal = np.empty((n, 2), np.int64)
         goal[:, 0] = np.where(hit2, 65536 - 256, 64)
@@ -152,8 +152,8 @@ def _encode_lanes(blocks: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
         hit1 = (one == symbol) & ~hit2
         at = model.lane[:m] * model.width + symbol
         w0 = 65536 - w2 - w1
-        start = np.where(hit2, 0, np.where(hit1, w2 << SLOTS, ((w2 + w1) << SLOTS) + w0 * model.start[at]))
-        size = np.where(hit2, w2 << SLOTS, np.where(hit1, w1 << SLOTS, w0 * model.share[at]))
+        start = np.where(hit2, 0, np.where(hit1, w2 << SLOTS, ((w2 + w1) << SLOTS) + w0 * model.start.take(at)))
+        size = np.where(hit2, w2 << SLOTS, np.where(hit1, w1 << SLOTS, w0 * model.share.take(at)))
         coder.narrow(m, coder.unit(m), start, size)
         lanes = np.flatnonzero(coder.ready(slice(m)))
         while len(lanes):
@@ -193,10 +193,10 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, sizes: np.ndarray) ->
         hit2 = value < edge2
         hit1 = (value < edge1) & ~hit2
         slot = np.maximum(value - edge1, 0) // w0
-        symbol = np.where(hit2, two, np.where(hit1, one, model.slots()[(model.lane[:m] << SLOTS) + slot])).astype(np.int64)
+        symbol = np.where(hit2, two, np.where(hit1, one, model.slots().take((model.lane[:m] << SLOTS) + slot))).astype(np.int64)
         at = model.lane[:m] * model.width + symbol
-        start = np.where(hit2, 0, np.where(hit1, edge2, edge1 + w0 * model.start[at]))
-        size = np.where(hit2, edge2, np.where(hit1, w1 << SLOTS, w0 * model.share[at]))
+        start = np.where(hit2, 0, np.where(hit1, edge2, edge1 + w0 * model.start.take(at)))
+        size = np.where(hit2, edge2, np.where(hit1, w1 << SLOTS, w0 * model.share.take(at)))
         coder.narrow(m, unit, start, size)
         lanes = np.flatnonzero(coder.ready(slice(m)))
         while len(lanes):

@@ -19,6 +19,8 @@ from nightsieve.llm.common import file_system, map_batches, map_partitions, shar
 from nightsieve.llm.tokens import encoder
 
 SEGMENT_IDS = range_coder.BLOCK * range_coder.LANES
+#: Stands for a null id in the files.
+NO_ID = -(1 << 63)
 MANIFEST = "path string, at long, bytes long, first long, texts long, ids long"
 
 
@@ -81,10 +83,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_i
     """Write all texts in ascending id order; (folder, manifest), a manifest row for each segment.
 
     A text is its ids and `end_id`, null and empty texts the end id alone.  The manifest lists only what successful tasks
-    wrote.  Rows with a null id go first under the smallest long.  Executors must reach the folder through an Arrow file system.
+    wrote.  Rows with a null id go first.  Executors must reach the folder through an Arrow file system.
     """
     folder = shared_folder(docs.sparkSession, "token-files")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
     work = partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, segment_ids=segment_ids)
     return folder, staged(map_partitions(rows, work, MANIFEST), "token-manifest")
@@ -109,4 +111,5 @@ def read_ids(folder: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFr
     before = F.sum("ids").over(W.orderBy("first", "path", "at").rowsBetween(W.unboundedPreceding, -1))
     segments = staged(manifest.withColumn("start", F.coalesce(before, F.lit(0))), "token-segments")
     spread = segments.repartition(max(1, segments.count()))
-    return map_batches(spread, partial(_read, folder=folder), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    rows = map_batches(spread, partial(_read, folder=folder), "id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select(F.nullif("id", F.lit(NO_ID)).alias(id_col), "start", "n_tokens", "ids_crc32")

@@ -23,18 +23,21 @@ def encoder(path: str, limit: int = 800_000) -> "Encoder":
 
 
 class Encoder:
-    """Encodes as the library does on the whole text, `add_special_tokens` off and special strings as ordinary text.
+    """Encodes as the library does on the whole text with `add_special_tokens` off.
 
     Both kinds of tokenizer split texts before any white space that follows other characters, so pieces "white space and
-    word" can be encoded alone.  About `limit` pieces, of 40 characters each, are remembered; then the cache starts anew.
+    word" can be encoded alone.  Texts that hold the string of an added token go to the library whole.  About `limit` pieces, of 40 characters each, are remembered; then the cache starts anew.
     """
 
     def __init__(self, path: str, limit: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.limit = limit
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hint = os.path.commonprefix(special)
+        self.hint = self.hint if self.hint.lower() == self.hint.upper() else ""
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
         self._clear()
 
     def _clear(self) -> None:
@@ -44,16 +47,30 @@ class Encoder:
         self.used = self.chars = 0
 
     def _learn(self, pieces: list[str]) -> None:
-        raw = [p if p[:1] == "\n" else p[1:] if p[:1] == _FIRST else " " + p for p in pieces]
-        found = [e.ids for at in range(0, len(raw), 4096) for e in self.tokenizer.encode_batch_fast(raw[at:at + 4096], add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(found), np.int32)
+        # words after a space are encoded many at a time, as one text; the tokens' places in it tell the words apart
+        pieces = sorted(pieces, key=lambda p: p[:1] in ("\n", _FIRST))
+        plain = next((k for k, p in enumerate(pieces) if p[:1] in ("\n", _FIRST)), len(pieces))
+        found, sizes = [], []
+        for at in range(0, plain, 2048):
+            part = pieces[at:min(plain, at + 2048)]
+            seen = self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False)
+            edges = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            begins = np.fromiter((a for a, _ in seen.offsets), np.int64, len(seen.ids))
+            found.append(np.array(seen.ids, np.int32))
+            sizes.append(np.bincount(np.searchsorted(edges, begins, "right"), minlength=len(part)))
+        alone = [p if p[:1] == "\n" else p[1:] for p in pieces[plain:]]
+        for at in range(0, len(alone), 4096):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(alone[at:at + 4096], add_special_tokens=False)]
+            found.append(np.fromiter(chain.from_iterable(each), np.int32))
+            sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        ids, counts = np.concatenate(found), np.concatenate(sizes)
         place = len(self.places)
         while place + len(pieces) + 1 > len(self.starts):
             self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty(len(self.ids), np.int32)))
         self.ids[self.used:self.used + len(ids)] = ids
-        self.starts[place + 1:place + 1 + len(pieces)] = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self.starts[place + 1:place + 1 + len(pieces)] = self.used + np.cumsum(counts)
         self.used += len(ids)
         self.chars += sum(map(len, pieces))
         self.places.update(zip(pieces, range(place, place + len(pieces))))
@@ -82,7 +99,8 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            words = None if _OTHER.search(text) else text.replace("\n", " \n").split(" ")
+            whole_text = _OTHER.search(text) or (self.hint in text and self.special.search(text))
+            words = None if whole_text else text.replace("\n", " \n").split(" ")
             if words is not None:
                 first = words[0]
                 if text[0] == "\n":

@@ -117,8 +117,7 @@ def test_tokens_are_the_library_s(name):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    texts = ["", None, " ", "a", " a  b", "It's\n\nfine\n x", "tab\there", "\nstart", "end ", "é́ ß　x", "<|endoftext|> 12 34!!", "\x01 mark", "a\x1cb c", "x " * 500]
+    texts = ["<|startoftext|> x <|EndOfText|>", "a <| b", "", None, " ", "a", " a  b", "It's\n\nfine\n x", "tab\there", "\nstart", "end ", "é́ ß　x", "<|endoftext|> 12 34!!", "\x01 mark", "a\x1cb c", "x " * 500]
     ids, bounds = tokens.Encoder(public_tokenizers.path(name), 10).encode(texts)
     for k, text in enumerate(texts):
         assert ids[bounds[k]:bounds[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
