@@ -6,6 +6,10 @@ whose anchor has several classes need sorting: each group of anchors forms shard
 transform of its contexts over symbols of `length / depth` bytes (one string for each phase), and the transforms are merged
 by interleave refinement: one symbol a round, each round a stable distribution of the interleave by preceding symbol.
 Where neighbours first differ gives the common prefix; runs with a prefix of `depth` symbols are the repeated intervals.
+
+An anchor with very many different contexts, as in a passage that many texts share, is split before: windows that are common among
+its contexts no longer serve, and the least of the others is the second anchor of a string (none, where all are common).  This
+too hangs on the string alone, so equal strings stay together, and what surrounds the passage spreads the rest.
 """
 
 from __future__ import annotations
@@ -19,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightsieve.llm.bytes_hash import U, RangeHash, chunks, texts
+from nightsieve.llm.bytes_hash import BASE, U, RangeHash, chunks, mix, texts
 from nightsieve.llm.common import map_batches, map_partitions, staged
 
 WINDOW = 64
 PLACES = U((1 << 28) - 1)
 SHARDS = 4
 GROUP_BYTES = 1 << 19
+#: Starts of a text that are handled at a time.
+STRETCH = 1 << 22
+#: Different contexts from which an anchor is split, contexts looked at to find its common windows, and rounds of splitting.
+CROWD, LOOKED_AT, SPLITS = 1000, 48, 3
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,8 +61,6 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int):
     empty = np.empty(0, np.int64)
     if len(hashes) < reach:
         return empty, empty, empty, np.empty(0, U), np.empty(0, U)
-    if len(hashes) > int(PLACES):
-        raise ValueError("a text is longer than the places that an anchor can name")
     # of equal leading bits the last place wins, so the choice hangs on the string alone
     packed = (hashes & ~PLACES) | (PLACES - np.arange(len(hashes), dtype=np.uint64))
     pick = (PLACES - (_sliding_least(packed, reach) & PLACES)).astype(np.int64)
@@ -77,12 +83,56 @@ def _anchor_rows(batch: pa.RecordBatch, length: int):
     data, bounds = texts(batch.column(1))
     ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))
     for i, j in chunks(bounds):
-        who, start, count, anchor, context = anchors(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], length)
-        if len(who):
+        for at in range(0, max(1, int(bounds[j] - bounds[i])), STRETCH) if j == i + 1 else (0,):  # long texts in stretches that overlap
+            first, last = bounds[i] + at, min(bounds[j], bounds[i] + at + STRETCH + length - 1) if j == i + 1 else bounds[j]
+            edges = bounds[i:j + 1] - bounds[i] if j > i + 1 else np.array([0, last - first])
+            who, start, count, anchor, context = anchors(data[first:last], edges, length)
+            if len(who):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[i + who]), pa.array(start + at), pa.array(count.astype(np.int64)), pa.array(anchor.view(np.int64)),
+                     pa.array(context.view(np.int64))],
+                    ["id", "start", "count", "anchor", "context"],
+                )
+
+
+def second_anchors(data: np.ndarray, count: int, length: int, common: np.ndarray):
+    """(start, count, second anchor, context hash) of the parts of a context, by the least window outside `common`; 0 where there is none."""
+    ranges = RangeHash(data)
+    hashes = ranges.windows(WINDOW)
+    packed = (hashes & ~PLACES) | (PLACES - np.arange(len(hashes), dtype=np.uint64))
+    packed[np.isin(hashes, common)] = np.iinfo(U).max
+    least = _sliding_least(packed, length - WINDOW + 1)[:count]
+    pick = np.where(least == np.iinfo(U).max, -1, (PLACES - (least & PLACES)).astype(np.int64))
+    first = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))
+    size = np.diff(np.append(first, count))
+    spot = pick[first]
+    second = np.where(spot < 0, U(0), hashes[spot])
+    context = ranges(first, first + size - 1 + length) ^ np.where(spot < 0, 0, spot - first).astype(U)
+    return first, size, second, context
+
+
+def _split(batch: pa.RecordBatch, length: int):
+    """The contexts of crowded anchors, cut up by their second anchors."""
+    data, bounds = texts(batch.column("text"))
+    for row, (name, parts) in enumerate(zip(batch.column("id").to_pylist(), batch.column("parts").to_pylist())):
+        for part in parts:
+            at, anchor = bounds[row] + part["start"], np.array([part["anchor"]]).view(U)
+            raw = data[at:at + part["count"] - 1 + length]
+            first, size, second, context = second_anchors(raw, part["count"], length, np.array(part["common"], np.int64).view(U))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i + who]), pa.array(start), pa.array(count.astype(np.int64)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))],
-                ["id", "start", "count", "anchor", "context"],
-            )
+                [pa.array(np.full(len(first), name)), pa.array(first + part["start"]), pa.array(size.astype(np.int64)),
+                 pa.array(mix(second * U(BASE) + mix(anchor + U(1))).view(np.int64)), pa.array(context.view(np.int64))],
+                ["id", "start", "count", "anchor", "context"])
+
+
+def _windows_of(batch: pa.RecordBatch, length: int):
+    """The different windows of each sampled context."""
+    data, bounds = texts(batch.column("text"))
+    for row, parts in enumerate(batch.column("parts").to_pylist()):
+        for part in parts:
+            at = bounds[row] + part["start"]
+            found = np.unique(RangeHash(data[at:at + part["count"] - 1 + length]).windows(WINDOW))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part["anchor"])), pa.array(found.view(np.int64))], ["anchor", "window"])
 
 
 class Transform:
@@ -192,9 +242,9 @@ def _extract(batch: pa.RecordBatch):
         at = bounds[row]
         yield pa.RecordBatch.from_arrays(
             [pa.array([w["anchor"] for w in wanted], pa.int64()), pa.array([w["context"] for w in wanted], pa.int64()),
-             pa.array([w["count"] for w in wanted], pa.int64()), pa.array([w["hot"] for w in wanted], pa.bool_()),
+             pa.array([w["count"] for w in wanted], pa.int64()),
              pa.array([data[at + w["start"]:at + w["end"]].tobytes() for w in wanted], pa.binary())],
-            ["anchor", "context", "count", "hot", "content"],
+            ["anchor", "context", "count", "content"],
         )
 
 
@@ -242,20 +292,6 @@ def _groups(batches: Iterator[pa.RecordBatch], length: int, depth: int) -> Itera
             yield judge(rows)
 
 
-def _window_rows(batch: pa.RecordBatch, length: int):
-    data, bounds = texts(batch.column("content"))
-    for i, j in chunks(bounds):
-        hashes = RangeHash(data[bounds[i]:bounds[j]]).windows(length)
-        counts = batch.column("count").to_numpy()[i:j]
-        owner = np.repeat(np.arange(j - i), counts)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        value = hashes[(bounds[i:j] - bounds[i])[owner] + place].view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(value), batch.column("anchor").take(pa.array(i + owner)), batch.column("context").take(pa.array(i + owner)), pa.array(place)],
-            ["value", "anchor", "context", "place"],
-        )
-
-
 def _kept(raw: bytes, spans: list[dict[str, int]] | None, length: int) -> tuple[bytes, int]:
     """The bytes outside all strings that start in `spans`, and the number of maximal removed runs."""
     merged: list[list[int]] = []
@@ -307,39 +343,69 @@ def _cut(batch: pa.RecordBatch, length: int):
     )
 
 
+ROWS = "id long, start long, count long, anchor long, context long"
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """Equal contexts as one row; anchors with a single context in all are left out."""
+    classes = rows.groupBy("anchor", "context").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start", "count")).alias("first"))
+    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")).where("all > 1").drop("all")
+    return staged(classes.join(kinds, "anchor"), "classes")
+
+
+def _per_text(source: DataFrame, parts: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, text, parts) of the texts that have some."""
+    lists = parts.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    return source.join(lists.hint("shuffle_hash"), "id").select("id", "text", "parts")
+
+
+def _spread(source: DataFrame, rows: DataFrame, classes: DataFrame, length: int, crowd: int) -> DataFrame | None:
+    """The rows of the anchors with more than `crowd` different contexts, under their second anchors; None without such."""
+    crowded = classes.where(F.col("kinds") > crowd)
+    if crowded.isEmpty():
+        return None
+    looked = crowded.where(F.pmod(F.xxhash64("context"), F.ceil(F.col("kinds") / LOOKED_AT)) == 0)
+    looked = staged(looked.select("anchor", "first.id", "first.start", "first.count"), "looked-at")
+    seen = map_batches(_per_text(source, looked, ["start", "count", "anchor"]), partial(_windows_of, length=length), "anchor long, window long")
+    sizes = looked.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    common = seen.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("c")).join(sizes, "anchor").where("c > 1 and 4 * c >= n")
+    common = common.groupBy("anchor").agg(F.collect_list("window").alias("common"))
+    common = crowded.select("anchor").distinct().join(common, "anchor", "left")
+    common = staged(common.select("anchor", F.coalesce("common", F.expr("cast(array() as array<bigint>)")).alias("common")), "common")
+    parts = rows.join(common, "anchor")
+    return staged(map_batches(_per_text(source, parts, ["start", "count", "anchor", "common"]), partial(_split, length=length), ROWS), "split")
+
+
 def repeated_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, depth: int = 4, hot: int = 2000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, depth: int = 4, crowd: int = CROWD
 ) -> DataFrame:
-    """(id, spans): the runs of starts of `length`-byte strings that also start elsewhere, of texts that have some.
-
-    An anchor with more than `hot` different contexts is too much for one task: the strings there are counted by
-    their own hashes in a grouped count instead, which is as exact.
-    """
+    """(id, spans): the runs of starts of `length`-byte strings that also start elsewhere, of texts that have some."""
     if length % depth or length <= WINDOW:
         raise ValueError("length must be a multiple of depth and above the anchor's window")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     long_enough = source.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    rows = staged(map_batches(long_enough, partial(_anchor_rows, length=length),
-                              "id long, start long, count long, anchor long, context long"), "anchors")
-    classes = rows.groupBy("anchor", "context").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start", "count")).alias("first"))
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")).where("all > 1").drop("all")
-    classes = staged(classes.join(kinds, "anchor"), "classes")
+    rows = staged(map_batches(long_enough, partial(_anchor_rows, length=length), ROWS), "anchors")
+    classes = _classes(rows)
+    for _ in range(SPLITS):
+        split = _spread(long_enough, rows, classes, length, crowd)
+        if split is None:
+            break
+        dealt = classes.where(F.col("kinds") > crowd).select("anchor").distinct()
+        rows = rows.join(dealt, "anchor", "left_anti").unionByName(split)
+        classes = classes.where(F.col("kinds") <= crowd).unionByName(_classes(split))
 
     wanted = classes.where("kinds > 1").select(
         F.col("first.id").alias("id"),
         F.struct(F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.count") - 1 + length).alias("end"),
-                 F.col("first.count").alias("count"), "anchor", "context", (F.col("kinds") > hot).alias("hot")).alias("w"))
+                 F.col("first.count").alias("count"), "anchor", "context").alias("w"))
     wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("wanted"))
     held = long_enough.join(wanted.hint("shuffle_hash"), "id").select("text", "wanted")
-    held = staged(map_batches(held, _extract, "anchor long, context long, count long, hot boolean, content binary"), "contexts")
-    dealt = held.where("not hot").select("anchor", "context", "count", "content").repartition("anchor").sortWithinPartitions("anchor")
+    held = map_batches(held, _extract, "anchor long, context long, count long, content binary")
+    dealt = held.repartition("anchor").sortWithinPartitions("anchor")
     judged = map_partitions(dealt, partial(_groups, length=length, depth=depth), "anchor long, context long, runs array<struct<first:long,end:long>>")
-    windows = staged(map_batches(held.where("hot"), partial(_window_rows, length=length), "value long, anchor long, context long, place long"), "windows")
-    again = windows.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    busy = windows.join(again, "value").select("anchor", "context", F.array(F.struct(F.col("place").alias("first"), (F.col("place") + 1).alias("end"))).alias("runs"))
     ones = classes.where("copies = 1").select("anchor", "context")
-    found = judged.where(F.size("runs") > 0).unionByName(busy).join(ones, ["anchor", "context"], "left_semi")
+    found = judged.where(F.size("runs") > 0).join(ones, ["anchor", "context"], "left_semi")
     whole = classes.where("copies > 1").select(
         "anchor", "context", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("first.count").alias("end"))).alias("runs"))
     spans = rows.join(found.unionByName(whole), ["anchor", "context"]).select("id", "start", F.explode("runs").alias("run"))
@@ -347,7 +413,7 @@ def repeated_spans(
     return spans.groupBy("id").agg(F.collect_list("s").alias("spans")).withColumnRenamed("id", id_col)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, depth: int = 4, hot: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, depth: int = 4, crowd: int = CROWD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes) per row.
 
     Removed is each byte that a `length`-byte string covers which also starts anywhere else, same text included, in
@@ -355,7 +421,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut inside a character.  Ids must be distinct; rows without an id lose
     nothing and take no part; equal texts lose all their bytes; an empty table gives no row.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, depth, hot).withColumnRenamed(id_col, "id")
+    spans = repeated_spans(docs, id_col, text_col, length, depth, crowd).withColumnRenamed(id_col, "id")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = source.join(spans.hint("shuffle_hash"), "id", "left").select("id", "text", "spans")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"

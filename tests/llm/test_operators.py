@@ -5,6 +5,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,14 +50,14 @@ def test_near_duplicates(docs, width, percent):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_remove_repeats(docs, hot):
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_remove_repeats(docs, crowd):
     raw = [(t or "").encode() for t in TEXTS]
     starts = [b[i:i + 400] for b in raw for i in range(len(b) - 399)]
     seen = {}
     for s in starts:
         seen[s] = seen.get(s, 0) + 1
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs, crowd=crowd).collect()}
     for k, b in enumerate(raw):
         gone = bytearray(len(b))
         for i in range(len(b) - 399):
@@ -70,6 +71,41 @@ def test_remove_repeats(docs, hot):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_a_passage_that_thousands_share(spark):
+    """One anchor with thousands of contexts, split or not, and a text that is read in stretches."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = line(80)
+    texts = [f"{line(rng.randrange(1, 30))} {shared} {line(rng.randrange(1, 30))}" for _ in range(1500)]
+    texts += [shared[:500] + word(), line(30) + shared[3:460], line(200) + shared[100:]]
+    raw = [t.encode() for t in texts]
+    seen = {}
+    for b in raw:
+        for i in range(len(b) - 399):
+            seen[b[i:i + 400]] = seen.get(b[i:i + 400], 0) + 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    for crowd in (200, 10**6):
+        got = {r.doc_id: r.kept_bytes for r in suffix_dedup.remove_repeats(df, crowd=crowd).collect()}
+        for k, b in enumerate(raw):
+            gone = bytearray(len(b))
+            for i in range(len(b) - 399):
+                if seen[b[i:i + 400]] > 1:
+                    gone[i:i + 400] = b"\1" * 400
+            assert got[k] == bytes(x for x, g in zip(b, gone) if not g)
+
+
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcd ") for _ in range(5000))
+    whole = text[:3000] + text[1000:1900] + text[3000:]
+    batch = pa.RecordBatch.from_pydict({"id": [4], "text": [whole]})
+    rows = [r for b in suffix_dedup._anchor_rows(batch, 400) for r in b.to_pylist()]
+    starts = sorted(s for r in rows for s in range(r["start"], r["start"] + r["count"]))
+    assert starts == list(range(len(whole) - 399))
+
+
 def test_contaminated(spark, docs):
     items = spark.createDataFrame([(1, SHARED), (2, "one"), (3, None), (4, ""), (None, "x"), (5, prose(40))], "item_id long, text string")
     want = set()
