@@ -32,10 +32,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _without(docs, found)
 
 
+#: Bytes from which a repeat is cut: a passage of more than 50 words has more than 200 in most languages.
+PASSAGE = 200
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages leave the texts; characters that a cut parts go too.  All rows stay, n_chars follows the text."""
-    spans = suffix_dedup.repeated_spans(docs)
-    return suffix_dedup.with_cut_text(docs, spans).withColumn(
+    spans = suffix_dedup.repeated_spans(docs, length=PASSAGE)
+    return suffix_dedup.with_cut_text(docs, spans, length=PASSAGE).withColumn(
         "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
 
 
