@@ -115,7 +115,7 @@ class _Range:
     def ready(self, lanes: np.ndarray | slice) -> np.ndarray:
         """Which of the lanes have their leading 16 bits settled; a short range across a border is cut there."""
         low, wide = self.low[lanes], self.range[lanes]
-        settled = ((low ^ (low + (wide - _ONE))) >> U(48)) == 0
+        settled = ((low ^ (low + wide)) >> U(48)) == 0  # a range that just touches the border is not settled: it could grow past 64 bits
         short = ~settled & (wide <= _LOW_BITS)
         if short.any():
             wide[short] = (~low[short] + _ONE) & _LOW_BITS

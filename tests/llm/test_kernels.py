@@ -103,6 +103,23 @@ def test_range_coder_round_trip(ids, block):
         assert (range_coder.decode(raw, 0, 1) == ids[:block]).all()
 
 
+def test_range_coder_keeps_its_range_on_long_repeats():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([np.tile(rng.integers(0, 50000, rng.integers(1, 60)), rng.integers(1, 300)) for _ in range(300)]).astype(np.uint32)
+    assert (range_coder.decode(range_coder.encode(ids)) == ids).all()
+    coder = range_coder._Range(1)
+    coder.low[:], coder.range[:] = 1 << 60, 1 << 48
+    assert not coder.ready(slice(1)).any()
+
+
+def test_range_coder_beats_zlib_on_texts():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("aeiounrstlhd"), rng.integers(2, 9))) for _ in range(3000)]
+    texts = [" ".join(words[min(int(k), 2999)] for k in rng.zipf(1.25, 400)) for _ in range(200)]
+    ids, _ = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), 10**5).encode(texts)
+    assert len(range_coder.encode(ids)) < len(zlib.compress(ids.astype("<u4").tobytes(), 6))
+
+
 def test_range_coder_notices_damage_and_shrinks():
     ids = np.tile(np.arange(50), 400)
     raw = bytearray(range_coder.encode(ids))
