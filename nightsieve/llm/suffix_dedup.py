@@ -8,7 +8,7 @@ by interleave refinement: one symbol a round, each round a stable distribution o
 Where neighbours first differ gives the common prefix; runs with a prefix of `depth` symbols are the repeated intervals.
 
 An anchor with very many different contexts, as in a passage that many texts share, is split before: windows that are common among
-its contexts no longer serve, and the least of the others is the second anchor of a string (none, where all are common).  This
+its contexts no longer serve, and the nearest of the others beside the anchor is the second anchor of a string (none, where all are common).  This
 too hangs on the string alone, so equal strings stay together, and what surrounds the passage spreads the rest.
 """
 
@@ -96,33 +96,43 @@ def _anchor_rows(batch: pa.RecordBatch, length: int):
 
 
 def second_anchors(data: np.ndarray, count: int, length: int, common: np.ndarray):
-    """(start, count, second anchor, context hash) of the parts of a context, by the least window outside `common`; 0 where there is none."""
+    """(start, count, second anchor, context hash) of the parts of a context.
+
+    A string's second anchor is the last window before its anchor that is not in `common`, else the first such one
+    behind it, else 0: at most three parts.
+    """
     ranges = RangeHash(data)
     hashes = ranges.windows(WINDOW)
-    packed = (hashes & ~PLACES) | (PLACES - np.arange(len(hashes), dtype=np.uint64))
-    packed[np.isin(hashes, common)] = np.iinfo(U).max
-    least = _sliding_least(packed, length - WINDOW + 1)[:count]
-    pick = np.where(least == np.iinfo(U).max, -1, (PLACES - (least & PLACES)).astype(np.int64))
-    first = np.flatnonzero(np.concatenate(([True], pick[1:] != pick[:-1])))
+    head = hashes[:length - WINDOW + 1]
+    spot = int(np.argmin((head & ~PLACES) | (PLACES - np.arange(len(head), dtype=np.uint64))))  # the anchor of all these strings
+    rare = np.flatnonzero(~np.isin(hashes, common))
+    left, right = rare[rare < spot][-1:], rare[rare > spot][:1]
+    edges = {0, *(left + 1).tolist(), *(right - (length - WINDOW)).tolist()}
+    first = np.array(sorted(e for e in edges if 0 <= e < count), np.int64)
     size = np.diff(np.append(first, count))
-    spot = pick[first]
-    second = np.where(spot < 0, U(0), hashes[spot])
-    context = ranges(first, first + size - 1 + length) ^ np.where(spot < 0, 0, spot - first).astype(U)
-    return first, size, second, context
+    second, place = np.zeros(len(first), U), np.full(len(first), -1)
+    for k, at in enumerate(first.tolist()):
+        near = left[left >= at][:1] if len(left) else left
+        near = near if len(near) else right[right <= at + length - WINDOW][:1]
+        if len(near):
+            second[k], place[k] = hashes[near[0]], near[0] - at
+    return first, size, second, ranges(first, first + size - 1 + length) ^ (place + 1).astype(U) ^ (U(spot) - first.astype(U) << U(32))
 
 
 def _split(batch: pa.RecordBatch, length: int):
-    """The contexts of crowded anchors, cut up by their second anchors."""
+    """The parts of the contexts of crowded anchors, under their second anchors."""
     data, bounds = texts(batch.column("text"))
     for row, (name, parts) in enumerate(zip(batch.column("id").to_pylist(), batch.column("parts").to_pylist())):
         for part in parts:
             at, anchor = bounds[row] + part["start"], np.array([part["anchor"]]).view(U)
             raw = data[at:at + part["count"] - 1 + length]
             first, size, second, context = second_anchors(raw, part["count"], length, np.array(part["common"], np.int64).view(U))
+            n = len(first)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(first), name)), pa.array(first + part["start"]), pa.array(size.astype(np.int64)),
+                [pa.array([part["anchor"]] * n, pa.int64()), pa.array([part["context"]] * n, pa.int64()), pa.array([part["copies"]] * n, pa.int64()),
+                 pa.array(first), pa.array([name] * n, pa.int64()), pa.array(first + part["start"]), pa.array(size.astype(np.int64)),
                  pa.array(mix(second * U(BASE) + mix(anchor + U(1))).view(np.int64)), pa.array(context.view(np.int64))],
-                ["id", "start", "count", "anchor", "context"])
+                ["anchor", "context", "copies", "off", "id", "start", "count", "part_anchor", "part_context"])
 
 
 def _windows_of(batch: pa.RecordBatch, length: int):
@@ -344,12 +354,12 @@ def _cut(batch: pa.RecordBatch, length: int):
 
 
 ROWS = "id long, start long, count long, anchor long, context long"
+PARTS = "anchor long, context long, copies long, off long, id long, start long, count long, part_anchor long, part_context long"
 
 
-def _classes(rows: DataFrame) -> DataFrame:
+def _classes(rows: DataFrame, copies) -> DataFrame:
     """Equal contexts as one row; anchors with a single context in all are left out."""
-    classes = rows.groupBy("anchor", "context").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "start", "count")).alias("first"))
+    classes = rows.groupBy("anchor", "context").agg(copies.alias("copies"), F.min(F.struct("id", "start", "count")).alias("first"))
     kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")).where("all > 1").drop("all")
     return staged(classes.join(kinds, "anchor"), "classes")
 
@@ -360,8 +370,8 @@ def _per_text(source: DataFrame, parts: DataFrame, fields: list[str]) -> DataFra
     return source.join(lists.hint("shuffle_hash"), "id").select("id", "text", "parts")
 
 
-def _spread(source: DataFrame, rows: DataFrame, classes: DataFrame, length: int, crowd: int) -> DataFrame | None:
-    """The rows of the anchors with more than `crowd` different contexts, under their second anchors; None without such."""
+def _spread(source: DataFrame, classes: DataFrame, length: int, crowd: int) -> DataFrame | None:
+    """The parts of the contexts of anchors with more than `crowd` different ones; None without such."""
     crowded = classes.where(F.col("kinds") > crowd)
     if crowded.isEmpty():
         return None
@@ -373,8 +383,9 @@ def _spread(source: DataFrame, rows: DataFrame, classes: DataFrame, length: int,
     common = common.groupBy("anchor").agg(F.collect_list("window").alias("common"))
     common = crowded.select("anchor").distinct().join(common, "anchor", "left")
     common = staged(common.select("anchor", F.coalesce("common", F.expr("cast(array() as array<bigint>)")).alias("common")), "common")
-    parts = rows.join(common, "anchor")
-    return staged(map_batches(_per_text(source, parts, ["start", "count", "anchor", "common"]), partial(_split, length=length), ROWS), "split")
+    parts = crowded.select("anchor", "context", "copies", "first.id", "first.start", "first.count").join(common, "anchor")
+    fields = ["start", "count", "anchor", "context", "copies", "common"]
+    return staged(map_batches(_per_text(source, parts, fields), partial(_split, length=length), PARTS), "split")
 
 
 def repeated_spans(
@@ -386,14 +397,15 @@ def repeated_spans(
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     long_enough = source.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
     rows = staged(map_batches(long_enough, partial(_anchor_rows, length=length), ROWS), "anchors")
-    classes = _classes(rows)
+    classes = _classes(rows, F.count(F.lit(1)))
+    splits = []
     for _ in range(SPLITS):
-        split = _spread(long_enough, rows, classes, length, crowd)
+        split = _spread(long_enough, classes, length, crowd)
         if split is None:
             break
-        dealt = classes.where(F.col("kinds") > crowd).select("anchor").distinct()
-        rows = rows.join(dealt, "anchor", "left_anti").unionByName(split)
-        classes = classes.where(F.col("kinds") <= crowd).unionByName(_classes(split))
+        splits.append(split)
+        parts = split.select(F.col("part_anchor").alias("anchor"), F.col("part_context").alias("context"), "copies", "id", "start", "count")
+        classes = classes.where(F.col("kinds") <= crowd).unionByName(_classes(parts, F.sum("copies")))
 
     wanted = classes.where("kinds > 1").select(
         F.col("first.id").alias("id"),
@@ -408,7 +420,12 @@ def repeated_spans(
     found = judged.where(F.size("runs") > 0).join(ones, ["anchor", "context"], "left_semi")
     whole = classes.where("copies > 1").select(
         "anchor", "context", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("first.count").alias("end"))).alias("runs"))
-    spans = rows.join(found.unionByName(whole), ["anchor", "context"]).select("id", "start", F.explode("runs").alias("run"))
+    found = found.unionByName(whole)
+    for split in reversed(splits):  # what holds for a part holds for the context that it was cut from
+        below = found.select(F.col("anchor").alias("part_anchor"), F.col("context").alias("part_context"), "runs")
+        moved = F.transform("runs", lambda r: F.struct((r.first + F.col("off")).alias("first"), (r.end + F.col("off")).alias("end")))
+        found = found.unionByName(split.join(below, ["part_anchor", "part_context"]).select("anchor", "context", moved.alias("runs")))
+    spans = rows.join(found, ["anchor", "context"]).select("id", "start", F.explode("runs").alias("run"))
     spans = spans.select("id", F.struct((F.col("start") + F.col("run.first")).alias("first"), (F.col("start") + F.col("run.end")).alias("end")).alias("s"))
     return spans.groupBy("id").agg(F.collect_list("s").alias("spans")).withColumnRenamed("id", id_col)
 
