@@ -10,8 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightsieve.operators import scoring, thresholds
-from nightsieve.operators.detection import frame_metrics
+from nightsieve.operators import scoring, slabs, thresholds
 from nightsieve.operators.moves import move_manifest
 from nightsieve.schema import Limits, limits_table
 from nightsieve.session import cut
@@ -57,18 +56,15 @@ class CullOptions:
 
 
 def measured_frames(spark: SparkSession, options: CullOptions) -> tuple[DataFrame, DataFrame]:
-    """(headers with status, metrics of the usable frames)."""
+    """(headers with status, metrics of the usable frames); files are read as slabs, twice."""
     header = cut(fits.header_table(files.discover_files(spark, options.input, options.recursive)))
     usable = header.filter("status = 'loaded'" if options.light_only else "error is null")
-    slabs = fits.image_slabs(usable)
-    broken = cut(fits.failed_paths(slabs.select("path", "error")))
+    metrics, broken = slabs.measured_frames(fits.luminance_slabs(usable, halo=slabs.HALO), usable, ["path"])
     header = header.join(broken.withColumnRenamed("error", "_late"), "path", "left").withColumns({
         "status": F.when(F.col("_late").isNotNull(), "error").otherwise(F.col("status")),
         "error": F.coalesce("error", "_late"),
     }).drop("_late")
-    good = usable.join(broken, "path", "left_anti")
-    pixels = fits.pixel_rows(fits.slab_luminance(fits.image_slabs(good)))
-    return header, frame_metrics(pixels, good, ["path"])
+    return header, metrics
 
 
 def judged_frames(metrics: DataFrame, options: CullOptions) -> DataFrame:

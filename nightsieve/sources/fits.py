@@ -8,6 +8,7 @@ file is shared by many tasks and no task holds an image.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nightsieve.functions import headers
 from nightsieve.functions.tone import norm_max_from_bits
-from nightsieve.operators.raster import luminance
+from nightsieve.operators.raster import LUMINANCE, luminance
 from nightsieve.sources.files import discover_files, file_name, path_parts
 
 # Fixed values of the file format.
@@ -169,6 +170,45 @@ def image_slabs(header: DataFrame, slab_rows: int = 64) -> DataFrame:
     return sized.repartition("path", "channel", "y0").mapInPandas(_slabs, SLAB_SCHEMA)
 
 
+def _mixed_slabs(batches: Iterator[pd.DataFrame], halo: int) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            width, height, y0, rows = int(row.width), int(row.height), int(row.y0), int(row.rows)
+            kind = np.dtype(SAMPLE_TYPES[int(row.bitpix)])
+            above, last = min(halo, y0), min(height, y0 + rows + halo)
+            size, samples, error, planes = (last - y0 + above) * width, None, None, []
+            try:
+                with open_path(row.path) as handle:
+                    for channel in range(min(int(row.planes), len(LUMINANCE))):
+                        handle.seek(int(row.data_offset) + ((channel * height + y0 - above) * width) * kind.itemsize)
+                        raw = handle.read(size * kind.itemsize)
+                        if len(raw) < size * kind.itemsize:
+                            raise ValueError("file ends inside the image")
+                        planes.append((np.frombuffer(raw, kind) * float(row.bscale) + row.bzero).astype(np.float32))
+                mixed = planes[0] if len(planes) == 1 else sum(w * p.astype(np.float64) for w, p in zip(LUMINANCE, planes))
+                samples = mixed.astype(np.float32)
+            except (OSError, ValueError) as problem:
+                error = f"{type(problem).__name__}: {problem}"
+            yield pd.DataFrame({
+                "path": [row.path], "y0": [y0], "rows": [rows], "above": [above], "width": [width], "height": [height],
+                "samples": [samples], "error": [error],
+            })
+
+
+def luminance_slabs(header: DataFrame, slab_rows: int = 256, halo: int = 0) -> DataFrame:
+    """(path, y0, rows, above, width, height, samples, error): one plane of each image in slabs of rows.
+
+    A task reads the same rows of all colour planes and mixes them, so no samples are shuffled; `halo` rows before and behind
+    come from the file too.  Luminance is defined on three planes: a missing blue plane adds nothing, later ones take no part.
+    """
+    wanted = header.filter("error is null").select("path", "data_offset", "bitpix", "bscale", "bzero", "width", "height", "planes")
+    wanted = wanted.withColumn("y0", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(slab_rows))))
+    sized = wanted.withColumn("rows", F.least(F.lit(slab_rows), F.col("height") - F.col("y0")))
+    # only these small descriptions are shuffled; the samples are read after it
+    schema = "path string, y0 int, rows int, above int, width int, height int, samples array<float>, error string"
+    return sized.repartition("path", "y0").mapInPandas(partial(_mixed_slabs, halo=halo), schema)
+
+
 def read_fits(header: DataFrame, light_only: bool = True, slab_rows: int = 64) -> DataFrame:
     """Slabs of the usable files. The gates act on headers, before any sample is read."""
     return image_slabs(header.filter("status = 'loaded'") if light_only else header, slab_rows)
