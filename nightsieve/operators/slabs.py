@@ -29,6 +29,8 @@ HALO = RING_OUTER + 3
 #: Longest sides of the two reductions before the trail search.
 REDUCTIONS = (1536, 768)
 CHUNK = 256
+#: Distinct values of a frame that one window ranks.
+WINDOW_VALUES = 1 << 18
 
 
 def slab_table(pixels: DataFrame, frames: DataFrame, keys: Sequence[str], slab_rows: int = 256, halo: int = HALO) -> DataFrame:
@@ -128,7 +130,9 @@ def _schemas(df: DataFrame, keys: Sequence[str], fields: Sequence[tuple[str, str
 
 def levels_of(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys…, median, mad, background, sigma, min, min_count, max, max_count) from value counts."""
-    centers, _ = checked(mad(counts, keys, "v", weight="n"))
+    most = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    # whole-number samples have few values, so one window a frame will do; others are ranked in ranges
+    centers, _ = checked(mad(counts, keys, "v", weight="n", bounded=most <= WINDOW_VALUES))
     delta = F.col("v") - F.col("median")
     spread = with_group_values(counts, keys, centers).groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("n") * delta * delta) / F.sum("n")).alias("sigma"), F.min("v").alias("min"),

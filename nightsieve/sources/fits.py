@@ -206,7 +206,8 @@ def luminance_slabs(header: DataFrame, slab_rows: int = 256, halo: int = 0) -> D
     sized = wanted.withColumn("rows", F.least(F.lit(slab_rows), F.col("height") - F.col("y0")))
     # only these small descriptions are shuffled; the samples are read after it
     schema = "path string, y0 int, rows int, above int, width int, height int, samples array<float>, error string"
-    return sized.repartition("path", "y0").mapInPandas(partial(_mixed_slabs, halo=halo), schema)
+    tasks = 4 * int(header.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: adaptive execution would merge these tiny rows
+    return sized.repartition(tasks, "path", "y0").mapInPandas(partial(_mixed_slabs, halo=halo), schema)
 
 
 def read_fits(header: DataFrame, light_only: bool = True, slab_rows: int = 64) -> DataFrame:
