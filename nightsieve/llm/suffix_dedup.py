@@ -24,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightsieve.llm.bytes_hash import BASE, U, RangeHash, chunks, mix, texts
-from nightsieve.llm.common import map_batches, map_partitions, staged
+from nightsieve.llm.common import map_batches, map_partitions, small_side, staged
 
 WINDOW = 64
 PLACES = U((1 << 28) - 1)
 SHARDS = 4
 GROUP_BYTES = 1 << 19
+#: Ids of texts, of 8 bytes, that are broadcast to choose the texts before a shuffle.
+SHORT_LIST = 500_000
 #: Starts of a text that are handled at a time.
 STRETCH = 1 << 22
 #: Different contexts from which an anchor is split, contexts looked at to find its common windows, and rounds of splitting.
-CROWD, LOOKED_AT, SPLITS = 1000, 48, 3
+CROWD, LOOKED_AT, SPLITS = 2000, 48, 3
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -367,6 +369,9 @@ def _classes(rows: DataFrame, copies) -> DataFrame:
 def _per_text(source: DataFrame, parts: DataFrame, fields: list[str]) -> DataFrame:
     """(id, text, parts) of the texts that have some."""
     lists = parts.groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    ids, local = small_side(parts.select("id").distinct(), SHORT_LIST)
+    if local:  # then only the texts that are wanted are shuffled
+        source = source.join(ids, "id", "left_semi")
     return source.join(lists.hint("shuffle_hash"), "id").select("id", "text", "parts")
 
 
@@ -411,8 +416,8 @@ def repeated_spans(
         F.col("first.id").alias("id"),
         F.struct(F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.count") - 1 + length).alias("end"),
                  F.col("first.count").alias("count"), "anchor", "context").alias("w"))
-    wanted = wanted.groupBy("id").agg(F.collect_list("w").alias("wanted"))
-    held = long_enough.join(wanted.hint("shuffle_hash"), "id").select("text", "wanted")
+    held = _per_text(long_enough, wanted.select("id", "w.*"), ["start", "end", "count", "anchor", "context"])
+    held = held.select("text", F.col("parts").alias("wanted"))
     held = map_batches(held, _extract, "anchor long, context long, count long, content binary")
     dealt = held.repartition("anchor").sortWithinPartitions("anchor")
     judged = map_partitions(dealt, partial(_groups, length=length, depth=depth), "anchor long, context long, runs array<struct<first:long,end:long>>")
