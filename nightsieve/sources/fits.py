@@ -7,8 +7,10 @@ file is shared by many tasks and no task holds an image.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -65,24 +67,50 @@ def read_header(handle) -> dict[str, str]:
 def _number(cards: dict[str, str], key: str, default: int = 0) -> int:
     try:
         return int(float(cards.get(key, default)))
-    except ValueError:
+    except (ValueError, OverflowError):
         return default
 
 
+class ImageUnit(NamedTuple):
+    """A unit that holds an image: its number, cards, axes and the place of its first sample."""
+
+    hdu: int
+    cards: dict[str, str]
+    axes: list[int]
+    bits: int
+    offset: int
+
+
+def image_units(handle) -> Iterator[ImageUnit]:
+    """The units of an open file that hold an image: two axes or more, none empty, known samples.
+
+    Only headers are read; data are sought over.  What follows the last unit without being a header is left alone.
+    """
+    size, hdu = handle.size(), 0
+    while (start := handle.tell()) < size:
+        if hdu and handle.read(8) not in (b"SIMPLE  ", b"XTENSION"):
+            return
+        handle.seek(start)
+        cards = read_header(handle)
+        axes = [max(0, _number(cards, f"NAXIS{i + 1}")) for i in range(max(0, _number(cards, "NAXIS")))]
+        bits, offset = _number(cards, "BITPIX"), handle.tell()
+        if len(axes) >= 2 and all(axes) and bits in SAMPLE_TYPES:
+            yield ImageUnit(hdu, cards, axes, bits, offset)
+        # tables keep a heap behind their rows, groups repeat
+        values = math.prod(axes) if axes else 0
+        data = (values + max(0, _number(cards, "PCOUNT"))) * max(1, _number(cards, "GCOUNT", 1)) * abs(bits) // 8
+        behind = offset + -(-data // BLOCK) * BLOCK
+        if behind >= size:
+            return
+        handle.seek(behind)
+        hdu += 1
+
+
 def image_header(path: str) -> tuple[int, dict[str, str], int]:
     """(unit number, cards, data offset) of the first unit that holds an image."""
     with open_path(path) as handle:
-        size, unit = handle.size(), 0
-        while handle.tell() < size:
-            cards = read_header(handle)
-            axes = [max(0, _number(cards, f"NAXIS{i + 1}")) for i in range(max(0, _number(cards, "NAXIS")))]
-            bits = _number(cards, "BITPIX")
-            if len(axes) >= 2 and axes[0] > 0 and axes[1] > 0 and bits in SAMPLE_TYPES:
-                return unit, cards, handle.tell()
-            samples = int(np.prod([max(1, a) for a in axes], dtype=np.int64)) if axes else 0
-            data = samples * abs(bits) // 8
-            handle.seek(handle.tell() + -(-data // BLOCK) * BLOCK)
-            unit += 1
+        for unit in image_units(handle):
+            return unit.hdu, unit.cards, unit.offset
     raise ValueError("no image data")
 
 
