@@ -604,3 +604,29 @@ def _move_manifest(spark, d):
         "when 1 then concat('night', frame_id % 40, '/', filter_name) end"
     )).withColumn("file_name", F.expr("concat('L', frame_id % 50, '.fits')"))
     return moves.move_manifest(df, "/rejected", ["(no filter)", "BUILDING", "FURNITURE"])
+
+
+@query("move_onto_existing", r"""
+with j as (select *, case frame_id % 3 when 0 then concat('Night', frame_id % 40) when 1 then concat('night', frame_id % 40, '/', filter_name) end as rel,
+  concat(case frame_id % 2 when 0 then 'L' else 'l' end, frame_id % 50, case when frame_id % 7 < 3 then concat('_', frame_id % 9) else '' end, '.fits') as name from judged),
+p as (select frame_id, name, is_rejected, regexp_replace(name, '\.[^.]*$', '') as stem,
+  case when coalesce(rel, '') = '' then '/rejected' else concat('/rejected/', rel) end as folder from j),
+q as (select *, lower(concat(folder, '/', name)) as place, regexp_replace(stem, '_([0-9]{1,9})$', '') as root,
+  coalesce(try_cast(regexp_extract(stem, '_([0-9]{1,9})$', 1) as int), 0) as num from p),
+f as (select *, lower(concat(folder, '/', root, '.fits')) as family from q),
+t as (select family, max(num) as top from f group by family),
+n as (select *, row_number() over (partition by place order by frame_id) = 1
+  and place not in (select place from f where not is_rejected) as stays from f where is_rejected),
+m as (select *, row_number() over (partition by family, stays order by frame_id) as k from n)
+select frame_id, concat(folder, '/', case when stays then name else concat(root, '_', top + k, '.fits') end) as destination from m join t using (family)
+""", JUDGED)
+def _move_onto_existing(spark, d):
+    """The frames that are not rejected play the files that lie at the destination."""
+    df = judged(spark, d).withColumn("relative_path", F.expr(
+        "case frame_id % 3 when 0 then concat('Night', frame_id % 40) when 1 then concat('night', frame_id % 40, '/', filter_name) end"
+    )).withColumn("file_name", F.expr(
+        "concat(case frame_id % 2 when 0 then 'L' else 'l' end, frame_id % 50, case when frame_id % 7 < 3 then concat('_', frame_id % 9) else '' end, '.fits')"
+    ))
+    there = df.filter("not is_rejected").select(F.expr(
+        "concat_ws('/', '/rejected', nullif(relative_path, ''), file_name)").alias("path"))
+    return moves.move_manifest(df, "/rejected", existing=there)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightsieve.operators import scoring, slabs, thresholds
-from nightsieve.operators.moves import move_manifest
+from nightsieve.operators.moves import destination_folders, move_manifest
 from nightsieve.schema import Limits, limits_table
-from nightsieve.session import cut
+from nightsieve.session import cut, ensure_checkpoint_dir
 from nightsieve.sources import files, fits, reports
 
 
@@ -29,12 +30,14 @@ class CullOptions:
     report: str | None = None
     report_format: str = "csv"
     move: bool = True
+    #: Folder of planned and finished moves; named, a run that was broken off is finished by the next.
+    journal: str | None = None
 
     @staticmethod
     def parse(args: Sequence[str]) -> CullOptions:
         """Options of a command line; limits that are not numbers keep their defaults."""
         parser = argparse.ArgumentParser(prog="cull", allow_abbrev=False)
-        for name in ("--input", "--rejected", "--report"):
+        for name in ("--input", "--rejected", "--report", "--journal"):
             parser.add_argument(name, default="")
         for name in ("--max-fwhm", "--max-hfr", "--max-ecc", "--max-bg"):
             parser.add_argument(name, default=None)
@@ -51,7 +54,7 @@ class CullOptions:
             chosen["min_trail"] = 0
         return CullOptions(
             known.input, known.rejected, {"": Limits.manual(**chosen)}, known.recursive, report=known.report or None,
-            move=not known.dry_run,
+            move=not known.dry_run, journal=known.journal or None,
         )
 
 
@@ -82,14 +85,20 @@ def cull_session(spark: SparkSession, options: CullOptions) -> tuple[int, dict[s
     """
     if not options.input.strip() or not options.rejected.strip():
         return 2, {}
+    if options.move and options.journal:
+        reports.finish_moves(spark, options.journal)  # before anything is listed
     header, metrics = measured_frames(spark, options)
     if header.isEmpty():
         return 0, {}
     frames = cut(judged_frames(cut(metrics), options))
     if options.report:
         reports.metrics_report(frames, options.report, options.report_format)
-    manifest = move_manifest(frames, options.rejected, id_col="path")
-    moves = cut(reports.execute_moves(manifest)) if options.move else manifest
+    if options.move:
+        journal = options.journal or f"{ensure_checkpoint_dir(spark)}/moves-{uuid.uuid4().hex}"
+        moves = reports.move_frames(frames, options.rejected, journal)
+    else:
+        existing = files.files_in(destination_folders(frames, options.rejected))
+        moves = move_manifest(frames, options.rejected, id_col="path", existing=existing)
     return 0, {"load_report": files.load_report(header), "frames": frames, "moves": moves}
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,28 @@ def discover_files(spark: SparkSession, roots: str | Sequence[str], recursive: b
     return in_path_order(union_sources(found).drop("source"))
 
 
+def arrow_path(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a path and the path in it; without a scheme it is local."""
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    return (pyarrow.fs.LocalFileSystem(), uri) if "://" not in uri else pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for folder in batch["folder"]:
+            system, inner = arrow_path(folder)
+            found = system.get_file_info(pyarrow.fs.FileSelector(inner, allow_not_found=True))
+            yield pd.DataFrame({"path": [f"{folder}/{info.base_name}" for info in found]}, dtype=object)
+
+
+def files_in(folders: DataFrame) -> DataFrame:
+    """(path) of all that lies directly in each `folder`, empty and hidden files and folders too; none where it does not exist.
+
+    Spark's own listing leaves empty and hidden files out, and a name is taken by those as well.  Each folder is listed in a task.
+    """
+    return folders.filter("folder is not null").select("folder").distinct().mapInPandas(_entries, "path string")
+
+
 def in_path_order(df: DataFrame, path: str = "path") -> DataFrame:
     return df.orderBy(F.lower(path), path)
 

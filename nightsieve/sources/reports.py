@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightsieve.functions.display import fixed, or_na
+from nightsieve.operators.moves import destination_folders, move_manifest
+from nightsieve.sources.files import arrow_path, files_in
 
 # Columns of a report line, in order.
 REPORT_COLUMNS = [
@@ -38,19 +42,14 @@ def report_lines(df: DataFrame) -> DataFrame:
     return df.select("file_name", text.alias("line"))
 
 
-def _system(path: str):
-    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    return (pyarrow.fs.LocalFileSystem(), uri) if "://" not in uri else pyarrow.fs.FileSystem.from_uri(uri)
-
-
 def _move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     missing = pyarrow.fs.FileType.NotFound
     for batch in batches:
         states = []
         for source, target in zip(batch["path"], batch["destination"]):
             try:
-                system, inner = _system(source)
-                _, goal = _system(target)
+                system, inner = arrow_path(source)
+                _, goal = arrow_path(target)
                 here, there = system.get_file_info([inner, goal])
                 if here.type == missing:
                     states.append("moved" if there.type != missing else "missing")
@@ -65,6 +64,60 @@ def _move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(status=states)
 
 
-def execute_moves(manifest: DataFrame) -> DataFrame:
+def execute_moves(manifest: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Move each (path, destination); a retried task finds a finished move and reports it as such."""
-    return manifest.select("path", "destination").mapInPandas(_move, "path string, destination string, status string")
+    kept = "".join(f", `{c}` {manifest.schema[c].dataType.simpleString()}" for c in keep)
+    schema = f"path string, destination string{kept}, status string"
+    return manifest.select("path", "destination", *keep).mapInPandas(_move, schema)
+
+
+def _journal(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    try:
+        return spark.read.schema(columns).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], columns)
+
+
+PLANNED, DONE = "run string, path string, destination string", "run string, path string, destination string, status string"
+
+
+def finish_moves(spark: SparkSession, journal: str) -> DataFrame:
+    """Carry out the planned moves of a journal that have no result yet, and give these results.
+
+    Names come from the journal, so a lost task, a second attempt or a new driver moves each file to the place planned first.
+    """
+    planned, done = _journal(spark, f"{journal}/planned", PLANNED), _journal(spark, f"{journal}/done", DONE)
+    open_runs = planned.join(done, ["run", "path"], "left_anti")
+    runs = [r[0] for r in open_runs.select("run").distinct().collect()]  # a handful: runs that were broken off
+    # the names leave the table and come back, for the results of the moves are put down beside them
+    results = execute_moves(open_runs.select("path", "destination", "run"), ["run"])
+    if runs:
+        results.select("run", "path", "destination", "status").write.mode("append").parquet(f"{journal}/done")
+    return _journal(spark, f"{journal}/done", DONE).filter(F.col("run").isin(runs))
+
+
+def move_frames(frames: DataFrame, destination: str, journal: str, id_col: str = "path") -> DataFrame:
+    """Move the rejected frames below the destination; (path, destination, status) of each move.
+
+    The journal, a folder that executors share, holds what is planned and what is done: (1) moves that an earlier run planned
+    and did not finish are finished, (2) what lies in the folders at the destination is listed and names planned against them, (3) the plan
+    is written, (4) files move by it.  Names taken by somebody else between (2) and (4) are planned again.
+    """
+    spark, out = frames.sparkSession, None
+    finish_moves(spark, journal)
+    left = frames
+    while True:
+        run = uuid.uuid4().hex
+        existing = files_in(destination_folders(left, destination))
+        manifest = move_manifest(left, destination, id_col=id_col, existing=existing)
+        planned = manifest.select(F.lit(run).alias("run"), F.col(id_col).alias("path"), "destination")
+        planned.write.mode("append").parquet(f"{journal}/planned")
+        results = finish_moves(spark, journal)
+        settled = results.filter("status <> 'occupied'").drop("run")
+        out = settled if out is None else out.unionByName(settled)
+        taken = results.filter("status = 'occupied'").select(F.col("path").alias(id_col))
+        if taken.isEmpty():
+            return out
+        left = frames.join(taken, id_col, "left_semi")
