@@ -29,6 +29,7 @@ class CullOptions:
     light_only: bool = True
     report: str | None = None
     report_format: str = "csv"
+    overwrite_report: bool = False
     move: bool = True
     #: Folder of planned and finished moves; named, a run that was broken off is finished by the next.
     journal: str | None = None
@@ -41,7 +42,7 @@ class CullOptions:
             parser.add_argument(name, default="")
         for name in ("--max-fwhm", "--max-hfr", "--max-ecc", "--max-bg"):
             parser.add_argument(name, default=None)
-        for name in ("--headless", "--allow-trails", "--recursive", "--dry-run"):
+        for name in ("--headless", "--allow-trails", "--recursive", "--dry-run", "--overwrite-report"):
             parser.add_argument(name, action="store_true")
         known, _ = parser.parse_known_args(list(args))
         chosen = {}
@@ -54,7 +55,7 @@ class CullOptions:
             chosen["min_trail"] = 0
         return CullOptions(
             known.input, known.rejected, {"": Limits.manual(**chosen)}, known.recursive, report=known.report or None,
-            move=not known.dry_run, journal=known.journal or None,
+            move=not known.dry_run, journal=known.journal or None, overwrite_report=known.overwrite_report,
         )
 
 
@@ -92,7 +93,7 @@ def cull_session(spark: SparkSession, options: CullOptions) -> tuple[int, dict[s
         return 0, {}
     frames = cut(judged_frames(cut(metrics), options))
     if options.report:
-        reports.metrics_report(frames, options.report, options.report_format)
+        reports.metrics_report(frames, options.report, options.report_format, mode="overwrite" if options.overwrite_report else "errorifexists")
     if options.move:
         journal = options.journal or f"{ensure_checkpoint_dir(spark)}/moves-{uuid.uuid4().hex}"
         moves = reports.move_frames(frames, options.rejected, journal)

@@ -22,10 +22,10 @@ REPORT_COLUMNS = [
 ]
 
 
-def metrics_report(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = ("group_key",)) -> None:
-    """One row per frame, written in parallel and partitioned by group."""
+def metrics_report(df: DataFrame, path: str, fmt: str = "csv", partition_by: Sequence[str] = ("group_key",), mode: str = "errorifexists") -> None:
+    """One row per frame, written in parallel and partitioned by group; a folder that is there is an error unless `mode` says so."""
     columns = [c for c in (*REPORT_COLUMNS, *partition_by) if c in df.columns]
-    writer = df.select(*columns).write.mode("overwrite")
+    writer = df.select(*columns).write.mode(mode)
     by = [c for c in partition_by if c in df.columns]
     writer = writer.partitionBy(*by) if by else writer
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)

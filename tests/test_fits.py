@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from nightsieve.plans.cull import CullOptions, cull_session
@@ -95,6 +96,10 @@ def test_batch_run_moves_the_soft_frame(spark, tmp_path):
     assert [r["status"] for r in tables["moves"].collect()] == ["moved"]
     assert (tmp_path / "out/night1/soft.fits").exists() and not (tmp_path / "in/night1/soft.fits").exists()
     assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 2
+    with pytest.raises(AnalysisException, match="ALREADY_EXISTS"):
+        reports.metrics_report(tables["frames"], str(tmp_path / "report"))
+    reports.metrics_report(tables["frames"].limit(1), str(tmp_path / "report"), mode="overwrite")
+    assert spark.read.option("header", True).csv(str(tmp_path / "report")).count() == 1
     lines = reports.report_lines(tables["frames"].withColumn("fwhm_arcsec", F.lit(None).cast("double"))).collect()
     assert any(r["line"].startswith("soft.fits: FWHM=5.6") and r["line"].endswith("Reject=True") for r in lines)
     # a retried task finds the finished move
