@@ -19,7 +19,7 @@ from nightsieve.session import ensure_checkpoint_dir, local_session  # noqa: E40
 HEADLINES = [
     "rank_percentile", "traffic_light", "auto_thresholds", "apply_thresholds", "summary_rollup", "reject_counters",
     "threshold_sweep", "multi_sort", "move_manifest", "nearest_rank_percentile", "mad", "box_blur", "local_maxima",
-    "measure_stars", "weighted_median", "kernel_smooth", "isolated_points", "density_map", "live_rescore",
+    "measure_stars", "weighted_median", "kernel_smooth", "isolated_points", "thin_by_distance", "density_map", "live_rescore",
 ]
 
 

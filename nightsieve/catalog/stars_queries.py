@@ -100,21 +100,36 @@ def _isolated_points(spark, d):
     return stars.isolated_points(views.stars(spark, d), K, "star_id", 40.0)
 
 
-@query("thin_by_distance")
+def greedy_sql(rows: str, test: str) -> str:
+    """Brightest first, frame by frame: a star joins the list unless the squared distance to one of it meets `test`."""
+    squared = "((k.x - s[1].x) * (k.x - s[1].x) + (k.y - s[1].y) * (k.y - s[1].y))"
+    return f"""
+with l as (select frame_id, list([{{'id': star_id, 'x': x, 'y': y}}] order by peak desc, y, x, star_id) as ranked from {rows} group by 1),
+g as (select frame_id, list_reduce(ranked, lambda a, s: case when len(list_filter(a, lambda k: {squared} {test})) > 0 then a else list_concat(a, s) end) as kept from l)
+"""
+
+
+@query("thin_by_distance", greedy_sql("stars", "<= 1600") + "select frame_id, unnest(list_transform(kept, lambda k: k.id)) as star_id from g", ("stars",))
 def _thin_by_distance(spark, d):
     return stars.thin_by_distance(views.stars(spark, d), K, "star_id", 40.0)
 
 
-@query("top_k_separated")
+def alignment_gap() -> float:
+    return stars.alignment_separation(W, H)
+
+
+INNER_STARS = f"""(select * from stars where peak > 0 and x between {W} * 0.1::double and {W} - 1 - {W} * 0.1::double
+ and y between {H} * 0.1::double and {H} - 1 - {H} * 0.1::double)"""
+
+
+@query("top_k_separated", greedy_sql(INNER_STARS, f"< {alignment_gap() ** 2!r}::double") + """
+select frame_id, kept[position].id as star_id, position from (select frame_id, kept, unnest(range(1, least(len(kept), 160) + 1)) as position from g)
+""", ("stars",))
 def _top_k_separated(spark, d):
     df = views.stars(spark, d)
     inner = df.filter((F.col("peak") > 0) & geometry.edge_margin("x", "y", W, H, 0.1))
     picked = stars.top_k_separated(inner, K, "star_id", 160, alignment_gap())
-    return picked.select(*K, "star_id", "position")
-
-
-def alignment_gap() -> float:
-    return stars.alignment_separation(W, H)
+    return picked.select(*K, "star_id", F.col("position").cast("bigint").alias("position"))
 
 
 @query("best_per_cell", f"""

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from nightsieve.operators import alignment, detection, stars, statistics, trail
+from nightsieve.operators import alignment, detection, settling, stars, statistics, trail
 from nightsieve.operators.raster import support_weights
 from tests.skies import scattered, star_field
 
@@ -278,3 +278,42 @@ def test_no_star_or_sample_is_left_out(spark):
     levels = spark.createDataFrame([(1, 100.0, 5.0, 750, 750)], "frame_id int, background double, sigma double, width int, height int")
     measured, counts = detection.detect_stars(pixel_frame(spark, {1: image}), levels, ["frame_id"])
     assert counts.first()["star_count"] > 2000 and measured.count() > 2000
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_thinning_across_small_tiles(spark, monkeypatch, inclusive):
+    """Tiles of a few cells, so that nearly every decision crosses borders; ties, repeated rows and missing values."""
+    monkeypatch.setattr(settling, "CELLS_A_TILE", 4)
+    rng = np.random.default_rng(11)
+    rows = [(f, i, float(rng.integers(-40, 60)), float(rng.integers(-40, 60)), float(rng.integers(0, 9))) for f in range(2) for i in range(500)]
+    odd = [(0, 900, None, 1.0, 50.0), (0, 901, float("nan"), 1.0, 50.0), (None, 902, 1.0, 1.0, 50.0), (0, None, 1.0, 1.0, 50.0), (1, 903, 500.0, 500.0, None)]
+    df = spark.createDataFrame(rows + rows[:50] + odd, "frame_id int, star_id int, x double, y double, peak double")
+    got = sorted((r["frame_id"], r["star_id"]) for r in stars.thin_by_distance(df, K, "star_id", 5.0, inclusive=inclusive).collect())
+    want = {(f, i) for f in range(2) for i in greedy([r[1:] for r in rows if r[0] == f], 5.0, inclusive)}
+    assert got == sorted(want | {(1, 903)})
+    assert stars.thin_by_distance(df.limit(0), K, "star_id").collect() == []
+
+
+def test_thinning_of_tiles_too_crowded_for_a_task(spark, monkeypatch):
+    monkeypatch.setattr(settling, "CELLS_A_TILE", 8)
+    monkeypatch.setattr(settling, "POINTS_A_TILE", 40)
+    rng = np.random.default_rng(12)
+    rows = [(0, i, float(rng.random() * 20), float(rng.random() * 20), float(rng.random())) for i in range(300)]
+    rows += [(0, 300 + i, float(rng.random() * 150), float(rng.random() * 150), float(rng.random())) for i in range(300)]
+    df = spark.createDataFrame(rows, "frame_id int, star_id int, x double, y double, peak double")
+    got = {r["star_id"] for r in stars.thin_by_distance(df, K, "star_id").collect()}
+    assert got == greedy([r[1:] for r in rows], 4.0)
+
+
+def test_a_long_falling_chain_ends_in_few_rounds(spark, monkeypatch):
+    """10,000 points, each hiding the next: a round that settles only the brightest would need 5,000 of them."""
+    passes = []
+    whole = settling.settle_tiles
+    monkeypatch.setattr(settling, "settle_tiles", lambda *a: passes.append(1) or whole(*a))
+    chain = spark.range(10_000).select(
+        F.lit(0).alias("frame_id"), F.col("id").alias("star_id"), (F.col("id") * 3.0).alias("x"), F.lit(5.0).alias("y"),
+        (F.lit(1e6) - F.col("id")).alias("peak"),
+    )
+    got = sorted(r["star_id"] for r in stars.thin_by_distance(chain, K, "star_id").collect())
+    assert got == list(range(0, 10_000, 2))
+    assert len(passes) == 1
