@@ -24,7 +24,8 @@ from nightsieve.functions.keys import group_key
 from nightsieve.operators.scoring import quality_score
 from nightsieve.schema import SCORED, ScoredMetric
 from nightsieve.session import cut
-from nightsieve.sources.files import FRAME_GLOB, discover_files, split_roots
+from nightsieve.sources.files import FRAME_GLOB, split_roots
+from nightsieve.streaming.folder_source import folder_changes
 
 BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 SETTLE_SECONDS = 1.5  # fixed value: age a file needs before it is read
@@ -45,11 +46,6 @@ def watch_source(spark: SparkSession, roots: str | Sequence[str], recursive: boo
     return streams
 
 
-def heartbeat(spark: SparkSession) -> DataFrame:
-    """A stream that ticks, so that deletions are noticed although no file arrives."""
-    return spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-
-
 def settled(listing: DataFrame, now: Column | None = None, seconds: float = SETTLE_SECONDS) -> DataFrame:
     """Files old enough to be complete; the rest stays for a later look."""
     now = F.current_timestamp() if now is None else now
@@ -183,17 +179,26 @@ class LiveSession:
         if arrivals is not None or removed is not None:
             self.apply(arrivals, removed, batch)
 
+    def on_changes(self, changes: DataFrame, batch: int) -> None:
+        """foreachBatch body for a stream of `folder_source.folder_changes`; the checkpoint and the state belong together."""
+        changes = cut(changes)
+        arrived = changes.filter(F.col("change") == "arrived").drop("change")
+        removed = changes.filter(F.col("change") == "removed").select("path")
+        arrivals = None if arrived.isEmpty() else dedupe_arrivals(arrived, None)
+        removed = None if removed.isEmpty() else removed
+        if arrivals is not None or removed is not None:
+            self.apply(arrivals, removed, batch)
+
     def start(
-        self, roots: str | Sequence[str], recursive: bool = False, interval: str = "2 seconds", checkpoint: str | None = None
+        self, roots: str | Sequence[str], recursive: bool = False, interval: str = "2 seconds", checkpoint: str | None = None,
+        buckets: int = 64,
     ) -> StreamingQuery:
-        """Watch folders until the query is stopped. Batches run one at a time."""
-
-        def tick(_: DataFrame, batch: int) -> None:
-            self.sweep(discover_files(self.spark, roots, recursive), batch)
-
+        """Watch folders until the query is stopped: tasks list them, batches run one at a time and carry what changed."""
+        checkpoint = checkpoint or f"{self.state}/checkpoint"
+        changes = folder_changes(self.spark, roots, f"{checkpoint}/listings", recursive, SETTLE_SECONDS, buckets)
         return (
-            heartbeat(self.spark).writeStream.foreachBatch(tick).trigger(processingTime=interval)
-            .option("checkpointLocation", checkpoint or f"{self.state}/checkpoint").start()
+            changes.writeStream.foreachBatch(self.on_changes).trigger(processingTime=interval)
+            .option("checkpointLocation", checkpoint).start()
         )
 
 
